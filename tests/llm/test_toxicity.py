@@ -12,7 +12,7 @@ def test_folding():
 
 
 def test_lexicon_and_exceptions():
-    toxic = [f"you are a {w} person number {c}" for w in ("scum", "scumbag") for c in "abcdefghijklmnopqrst"]
+    toxic = [f"you are {c} a {w} {c} person" for w in ("scum", "scumbag") for c in "abcdefghijklmnopqrst"]
     clean = [f"a pond scum study by {c} and others" for c in "abc"] + [f"nothing to see {c}{d} here" for c in "abcdefghijklmnopqr" for d in "abcdefghijklmnopqr"]
     lex = op.learn([op.folded(t) for t in toxic], [op.folded(t) for t in clean])
     assert " pond scum " in lex.exceptions
@@ -21,18 +21,21 @@ def test_lexicon_and_exceptions():
 
 
 def test_held_out_accuracy(spark):
-    path = "/root/testdata/sf0.01"
+    path = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{path}/labels.parquet")
     got = op.query(spark, path).join(labels, "doc_id").collect()
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
     apart = [r for r in got if r.held_out]
-    assert np.mean([r.predicted == r.toxic for r in apart]) > 0.95
+    hits = [r for r in apart if r.predicted]
+    assert np.mean([r.toxic for r in hits]) > 0.95
+    assert np.mean([r.predicted for r in apart if r.toxic]) > 0.8
 
 
 def test_defined_cases(spark):
-    docs = [(i, f"you {w} thing {i} end", 0) for i in range(40) for w in ["vile" if i % 2 else "nice"]]
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    docs = [(i, f"you {name(i)} {w} {name(7 * i)} end", 0) for i in range(40) for w in ["vile" if i % 2 else "nice"]]
     docs += [(100, None, 0), (101, "", 0), (102, "so VILE " * 30_000, 0), (102, "x", 0), (None, "vile", 0)]
     df = spark.createDataFrame(docs, "doc_id long, text string, toxic int").withColumn("score", F.lit(1))
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(40)] * 2 + [(None, 1, 1), (7, None, 1)], "doc_id long, toxic int, text int")

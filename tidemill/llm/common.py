@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,21 +75,6 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def map_batches(
-    df: DataFrame, columns: list[str | Column], schema: str, make: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]
-) -> DataFrame:
-    """``mapInArrow`` over only the columns that are needed."""
-    return df.select(*columns).mapInArrow(make, schema)
-
-
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice holds about ``most`` bytes of text (a longer row stays whole)."""
-    sizes = np.asarray(batch.column(column).cast(pa.large_binary()).value_lengths().fill_null(0)) if hasattr(
-        pa.LargeBinaryArray, "value_lengths"
-    ) else np.fromiter((len(x or b"") for x in utf8(batch.column(column))), np.int64, batch.num_rows)
-    part = (np.cumsum(sizes) // most).tolist()
-    start = 0
-    for i in range(1, batch.num_rows + 1):
-        if i == batch.num_rows or part[i] != part[start]:
-            yield batch.slice(start, i - start)
-            start = i
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker, over the tasks that reuse it."""
+    return sys.modules.setdefault("_tidemill_worker_cache", types.ModuleType("_tidemill_worker_cache")).__dict__

@@ -37,6 +37,10 @@ SQL = None
 TOXIC, CLEAN = 1500, 3000
 #: Entries of the lexicon at most, and of exception phrases.
 ENTRIES, EXCEPTIONS = 2000, 500
+#: How much of the number of tried stems the evidence for one must outweigh.
+CAUTION = 1.0
+#: The lexicon has seen the clean texts of the sample, so they understate chance matches by about this factor.
+OPTIMISM = 4.0
 #: Letters of a stem at least and at most.
 SHORTEST, LONGEST = 3, 12
 
@@ -162,7 +166,7 @@ def learn(toxic: list[str], clean: list[str], clean_weight: float = 1.0) -> Lexi
         if p <= share:
             return False
         gain = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)
-        return n * gain >= math.log(20 * len(a))
+        return n * gain >= CAUTION * math.log(len(a))
 
     children: dict[str, list[str]] = {}
     for k in a:
@@ -260,7 +264,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Lexicon:
     )
     rows = sorted((r["doc_id"], r["label_toxic"], folded(r["text"] or "")) for r in rows)
     toxic, clean = [t for _, y, t in rows if y == 1], [t for _, y, t in rows if y != 1]
-    return learn(toxic, clean, max(1.0, (totals.get(0, 0) / max(len(clean), 1)) / max(totals.get(1, 0) / max(len(toxic), 1), 1e-9)))
+    return learn(toxic, clean, max(OPTIMISM, (totals.get(0, 0) / max(len(clean), 1)) / max(totals.get(1, 0) / max(len(toxic), 1), 1e-9)))
 
 
 def toxicity(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
