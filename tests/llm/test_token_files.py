@@ -53,7 +53,7 @@ def test_words_between_spaces_make_the_text():
     texts = ["Á b", " ́x", "it's don'T  x\t\ny", "ΣΑΣ ΟΔΟΣ", "İI ﬁ ½ ①  é", "a　b c d", "<|endoftext|> x", "日本 語 " * 50]
     encoder = op.Encoder(PATH)
     for text, ids in zip(texts, encoder.encode(texts)):
-        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+        assert ids.tolist() == [*encoder.words.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
 def test_defined_cases(spark, tmp_path):

@@ -29,6 +29,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ BLOCK, PERCENTILE, END = 4096, 95.0, 1
 HEAD, TRAILER = "<IIBI", "<QQQQ8s"
 HEAD_SIZE, TRAILER_SIZE = struct.calcsize(HEAD), struct.calcsize(TRAILER)
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 # --- blocks -------------------------------------------------------------------
@@ -168,6 +169,23 @@ class Reader:
 # --- encoding -----------------------------------------------------------------
 
 
+class Words(dict):
+    """Ids of words as bytes (u32); encodes a word when it is first asked for."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__({"": b""})
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) < REMEMBERED:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Whole-text encoding by the tokenizers library, remembering words between spaces.
 
@@ -177,22 +195,12 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words = Words(path)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """u32 ids of each text, with the end id."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        parts = [(t or "").split(" ") for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        get, end = self.known.__getitem__, np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(get, p)) + end, "<u4") for p in parts]
+        get, end = self.words.__getitem__, array("I", [END]).tobytes()
+        return [np.frombuffer(b"".join(map(get, (t or "").split(" "))) + end, np.uint32) for t in texts]
 
 
 def _encoder(path: str) -> Encoder:
@@ -235,7 +243,7 @@ def write_files(documents: DataFrame, folder: str, tokenizer: str) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    files = dealt.mapInArrow(run, "file long, path string, n_docs long, n_ids long").orderBy("file").collect()  # one row a file
+    files = sorted(dealt.mapInArrow(run, "file long, path string, n_docs long, n_ids long").collect())  # one row a file
     starts = np.cumsum([0, *(r.n_ids for r in files)]).tolist()
     rows = [(*r, s) for r, s in zip(files, starts)]
     return documents.sparkSession.createDataFrame(rows, "file long, path string, n_docs long, n_ids long, start long")
