@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash_dedup", "decontaminate", "quality_rules", "token_files", "language_id", "toxicity", "chat_format")
+MODULES = (
+    "simhash_dedup", "warc_derive", "decontaminate", "quality_rules", "token_files",
+    "language_id", "toxicity", "bin_packing", "chat_format",
+)
 
 
 def _modules():
