@@ -48,7 +48,7 @@ BLOCK, PERCENTILE, END = 4096, 95.0, 1
 HEAD, TRAILER = "<IIBI", "<QQQQ8s"
 HEAD_SIZE, TRAILER_SIZE = struct.calcsize(HEAD), struct.calcsize(TRAILER)
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 # --- blocks -------------------------------------------------------------------
@@ -186,6 +186,18 @@ class Words(dict):
         return ids
 
 
+def plain(text: str) -> str:
+    """The text with what its normaliser would change anyway: line ends, and case where that is letter by letter."""
+    text = text.replace("\n", " ")
+    if text.isascii():
+        return text.lower()
+    try:
+        text.encode("latin-1")  # no combining marks, no letter whose lower case depends on its place
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     """Whole-text encoding by the tokenizers library, remembering words between spaces.
 
@@ -200,7 +212,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """u32 ids of each text, with the end id."""
         get, end = self.words.__getitem__, array("I", [END]).tobytes()
-        return [np.frombuffer(b"".join(map(get, (t or "").split(" "))) + end, np.uint32) for t in texts]
+        return [np.frombuffer(b"".join(map(get, plain(t or "").split(" "))) + end, np.uint32) for t in texts]
 
 
 def _encoder(path: str) -> Encoder:
