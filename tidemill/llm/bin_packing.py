@@ -29,7 +29,6 @@ Defined cases
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,12 +104,9 @@ def bin_packing(documents: DataFrame, capacity: int = CAPACITY, shard_words: int
     shards = max(1, round(total / 6 / shard_words))
     dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(shards)).cast("long"))
 
-    def run(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        rows = []
-        for batch in batches:
-            rows += zip(*(batch.column(i).to_pylist() for i in range(4)))
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
+        rows = sorted(zip(*(held.column(i).to_pylist() for i in range(4))), key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
         pieces, empty = [], []
         for doc, source, size, group in rows:
             if not size:
@@ -120,9 +116,7 @@ def bin_packing(documents: DataFrame, capacity: int = CAPACITY, shard_words: int
         pieces.sort(key=lambda p: -p[2])
         placed = pack([(size, source, group) for _, _, size, source, group in pieces], capacity)
         out = [(doc, piece, size, shard, b, at) for (doc, piece, size, _, _), (b, at) in zip(pieces, placed)] + empty
-        for start in range(0, len(out), 10_000):
-            columns = zip(*out[start : start + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "piece", "n_words", "shard", "bin", "offset"])
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "piece", "n_words", "shard", "bin", "offset"])
 
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece long, n_words long, shard long, bin long, offset long")
 
