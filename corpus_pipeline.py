@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages; each result is written as Parquet and read again."""
+"""A corpus pipeline of five stages; each result is written as Parquet and read again.
+
+1. language ID: documents that the models reject go
+2. SimHash near-duplicates: one document of each group stays
+3. suffix-array dedup: substrings of 50 bytes that an earlier document has are cut out
+4. benchmark decontamination: documents that contain a benchmark item go
+5. best-fit packing: where every document that is left goes
+"""
 
 from __future__ import annotations
 
@@ -6,11 +13,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import simhash_dedup
+from tidemill.llm import bin_packing, decontaminate, language_id, simhash_dedup, suffix_dedup
 from tidemill.llm.common import shared_folder, table
 
 STAGES = [
+    ("language_id", language_id.keep_known),
     ("simhash_near_dedup", simhash_dedup.keep_one),
+    ("suffix_array_dedup", suffix_dedup.remove_repeats),
+    ("benchmark_decontamination", decontaminate.keep_clean),
+    ("best_fit_packing", bin_packing.pack_corpus),
 ]
 
 #: Language models and bin packing have no SQL; tests hold the stages against brute force.

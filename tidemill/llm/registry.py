@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
-    "simhash_dedup", "warc_derive", "decontaminate", "quality_rules", "token_files",
+    "simhash_dedup", "warc_derive", "suffix_dedup", "decontaminate", "quality_rules", "token_files",
     "language_id", "toxicity", "bin_packing", "chat_format",
 )
 
