@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tidemill.plans.flagship",)
+MODULES = tuple(f"tidemill.plans.{m}" for m in ("flagship", "relational", "subqueries", "tpch"))
 
 
 def load() -> None:
