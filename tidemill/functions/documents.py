@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- JSON: built from columns, or parsed where no expression reaches --------------
 
@@ -120,23 +121,23 @@ def _contains(a, b) -> bool:
     return type(a) is type(b) and a == b
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def json_depth(x: pd.Series) -> pd.Series:
     return _each(_depth, x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_pretty(x: pd.Series) -> pd.Series:
     return _each(lambda v: json.dumps(v, indent=2, ensure_ascii=False), x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_merge_patch(a: pd.Series, b: pd.Series) -> pd.Series:
     """RFC 7396."""
     return _each(lambda x, y: _dump(_patch(x, y)), a, b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_merge_preserve(a: pd.Series, b: pd.Series) -> pd.Series:
     """Arrays are joined, objects merged member by member, scalars wrapped."""
     return _each(lambda x, y: _dump(_preserve(x, y)), a, b)
@@ -145,12 +146,12 @@ def json_merge_preserve(a: pd.Series, b: pd.Series) -> pd.Series:
 json_merge = json_merge_preserve
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def json_contains(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(lambda x, y: int(_contains(x, y)), a, b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_array_append(a: pd.Series, b: pd.Series) -> pd.Series:
     """JSON_APPEND at the root."""
     return _each(lambda x, y: _dump([*(x if isinstance(x, list) else [x]), y]), a, b)

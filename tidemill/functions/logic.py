@@ -22,7 +22,8 @@ def number(x: Column) -> Column:
     """Leading number of a value as double, 0 where there is none."""
     text = x.cast("string")
     lead = F.regexp_extract(text, r"^\s*([+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?))", 1)
-    plain = F.when(text == "true", F.lit("1")).when(text == "false", F.lit("0")).otherwise(text)
+    boolean = F.typeof(x) == "boolean"
+    plain = F.when(boolean & (text == "true"), F.lit("1")).when(boolean, F.lit("0")).otherwise(text)
     return F.when(x.isNull(), None).otherwise(F.coalesce(plain.try_cast("double"), lead.try_cast("double"), F.lit(0.0)))
 
 

@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lit(x: Column | str | int) -> Column:
@@ -200,14 +201,14 @@ def substring_index(x: Column, delimiter: str, count: int) -> Column:
     return F.substring_index(x, delimiter, count)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compress(x: pd.Series) -> pd.Series:
     """Length in four bytes (little-endian) and a zlib stream; empty stays empty."""
     raw = x.map(lambda v: None if v is None else bytes(v, "utf-8") if isinstance(v, str) else bytes(v))
     return raw.map(lambda b: None if b is None else b"" if not b else len(b).to_bytes(4, "little") + zlib.compress(b))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def uncompress(x: pd.Series) -> pd.Series:
     """The text of ``compress``; NULL if the bytes are not its output."""
 
