@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each result is written as Parquet and read again.
 
 1. language ID: documents that the models reject go
-2. SimHash near-duplicates: one document of each group stays
+2. SimHash near-duplicates: of documents with a similarity of 0.8 or more over five-word
+   shingles, found in the SimHash groups of a wide radius, the first one stays
 3. suffix-array dedup: substrings of 50 bytes that an earlier document has are cut out
 4. benchmark decontamination: documents that contain a benchmark item go
 5. best-fit packing: where every document that is left goes

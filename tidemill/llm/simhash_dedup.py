@@ -31,11 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, settle, table, utf8
+from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, settle, staged, table, utf8
 from tidemill.llm.components import components, forest
 
 NAME = "op1_simhash_dedup"
@@ -45,7 +44,7 @@ BUCKET = 1024
 #: Cost of one shuffled row against one verified pair, for the choice of parts.
 ROW_COST = 400.0
 #: Parts that are considered.
-PARTS = (2, 3, 4, 5)
+PARTS = (2, 3, 4, 5, 6, 7)
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -327,7 +326,79 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- one document of each group -------------------------------------------------
+
+
+def shingle_set(text: Column, size: int = 5) -> Column:
+    """Different hashes of the word shingles of a text; fewer words make one shingle, none make none."""
+    words = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    parts = ", ".join(f"w[i + {k}]" for k in range(size))
+    each = F.expr(
+        f"w -> CASE WHEN size(w) >= {size} THEN transform(sequence(0, size(w) - {size}), i -> xxhash64({parts})) "
+        "WHEN size(w) > 0 THEN array(xxhash64(w)) ELSE array() END"
+    )
+    return F.array_distinct(F.element_at(F.call_function("transform", F.array(words), each), 1))
+
+
+def similarity(a: set[int], b: set[int]) -> float:
+    """Jaccard similarity; two texts without words are the same."""
+    if not a and not b:
+        return 1.0
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared)
+
+
+def _followers(threshold: float):
+    def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        rows = sorted(zip(held.column("doc_id").to_pylist(), map(set, held.column("shingles").to_pylist())), key=lambda r: r[0])
+        leaders: list[set[int]] = []
+        gone = []
+        for doc, own in rows:
+            if any(min(len(own), len(x)) >= threshold * max(len(own), len(x)) and similarity(own, x) >= threshold for x in leaders):
+                gone.append(doc)
+            else:
+                leaders.append(own)
+        return pa.table([pa.array(gone, pa.int64())], names=["doc_id"])
+
+    return run
+
+
+def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -> DataFrame:
+    """Ids of documents that are similar to a document with a smaller id which itself stays.
+
+    Candidates are the SimHash groups at a wider radius; within a group, in order of
+    doc_id, a document goes if the Jaccard similarity of its five-word shingles to one
+    that stays is at least the threshold. A group of up to ``BUCKET`` documents is one
+    task's; a larger one first loses the followers of its smallest document, by a join,
+    again and again until it is small.
+    """
+    grouped = simhash_dedup(documents.filter("doc_id IS NOT NULL"), radius).select("doc_id", "component_id").distinct()
+    several = grouped.groupBy("component_id").count().filter("count > 1")
+    members = grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), "component_id", "count")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id") == F.col("id"))
+    open_ = staged(texts.select("doc_id", "component_id", "count", shingle_set(F.col("text")).alias("shingles")).dropDuplicates(["doc_id"]))
+    small, large = open_.filter(F.col("count") <= BUCKET).select("doc_id", "component_id", "shingles"), open_.filter(F.col("count") > BUCKET).drop("count")
+    gone = None
+    while not large.isEmpty():
+        first = large.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "shingles"), "doc_id").alias("leader"))
+        shared, total = F.size(F.array_intersect("shingles", "leader.shingles")), F.size("shingles") + F.size("leader.shingles")
+        judged = large.join(first, "component_id").filter(F.col("doc_id") != F.col("leader.doc_id"))
+        judged = staged(judged.select("doc_id", "component_id", "shingles", ((total == 0) | (shared >= threshold * (total - shared))).alias("near")))
+        follow = judged.filter("near").select("doc_id")
+        gone = follow if gone is None else gone.unionByName(follow)
+        rest = judged.filter("NOT near").drop("near")
+        sizes = rest.groupBy("component_id").count().select(F.col("component_id").alias("c"), F.col("count").alias("left"))
+        rest = rest.join(sizes, F.col("component_id") == F.col("c")).drop("c")
+        small = small.unionByName(rest.filter(F.col("left") <= BUCKET).drop("left"))
+        large = rest.filter(F.col("left") > BUCKET).drop("left")
+    found = small.groupBy("component_id").applyInArrow(_followers(threshold), "doc_id long")
+    return found if gone is None else found.unionByName(gone)
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each group stays."""
-    keep = simhash_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Pipeline stage: of near copies the document with the smallest doc_id stays.
+
+    Rows with the same doc_id stay or go together; a row without a doc_id stays.
+    """
+    gone = near_copies(docs).select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
