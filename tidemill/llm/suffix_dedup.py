@@ -54,7 +54,7 @@ BLOCK = 400
 #: Bytes of texts that a map task turns into one round of blobs, and of blocks that go through the arrays together.
 ROUND, BATCH = 8 << 20, 4 << 20
 #: Bytes of text for each bucket of anchors, and of segments.
-PER_BUCKET = 8 << 20
+PER_BUCKET = 2 << 20
 
 _MULT = 0x9E3779B97F4A7C15
 _NEVER = (1 << 63) - 1
