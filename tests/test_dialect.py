@@ -11,7 +11,7 @@ from tidemill import dialect
         ("select * from t limit 5, 10", "select * from t limit 10 OFFSET 5"),
         ("select lcase(x), lcase from t", "select lower(x), lcase from t"),
         ("select x->>'$.a' from t", "select get_json_object(x, '$.a') from t"),
-        ("select /*+TDDL:BKA_JOIN(a, b)*/ 1", "select /*+ BROADCAST(a, b) */ 1"),
+        ("select /*+ CMD: BKA_JOIN(a, b) */ 1", "select /*+ BROADCAST(a, b) */ 1"),
         ("select a regexp 'x' xor b", "select a RLIKE 'x'  <>  b"),
     ],
 )

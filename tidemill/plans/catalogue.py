@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = tuple(f"tidemill.plans.{m}" for m in ("flagship", "relational", "subqueries", "tpch", "scalars", "extras"))
+MODULES = tuple(f"tidemill.plans.{m}" for m in ("flagship", "relational", "subqueries", "tpch", "scalars", "extras", "more"))
 
 
 def load() -> None:

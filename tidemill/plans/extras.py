@@ -175,7 +175,7 @@ mysql(
 )
 mysql("dialect_json_paths", "events", "SELECT event_id, props->>'$.k' AS k, events.props->'$.k' AS j FROM events", "SELECT event_id, props ->> '$.k' AS k, (props -> '$.k')::VARCHAR AS j FROM events")
 mysql(
-    "dialect_hints", "customer orders", "SELECT /*+TDDL: HASH_JOIN(customer, orders) */ c_custkey, o_orderkey FROM customer STRAIGHT_JOIN orders ON c_custkey = o_custkey WHERE c_name REGEXP '7$'",
+    "dialect_hints", "customer orders", "SELECT /*+ HASH_JOIN(customer, orders) */ c_custkey, o_orderkey FROM customer STRAIGHT_JOIN orders ON c_custkey = o_custkey WHERE c_name REGEXP '7$'",
     "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE regexp_matches(c_name, '7$')",
 )
 mysql(
