@@ -16,12 +16,12 @@ from tidemill.session import table
            count(DISTINCT o_orderkey) AS n_orders
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-    WHERE l_shipdate >= TIMESTAMP '1994-01-01' GROUP BY n_name ORDER BY revenue DESC, n_name LIMIT 10
+    WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY n_name ORDER BY revenue DESC, n_name LIMIT 10
     """,
 )
 def flagship_revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters and pruned columns reach the scans; Catalyst picks the join strategies."""
-    line = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") >= F.lit("1994-01-01").cast("timestamp"))
+    line = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp"))
     joined = (
         line.select("l_orderkey", "l_extendedprice", "l_discount")
         .join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import session as X
 from tidemill.functions import types as Y
-from tidemill.operators import modify
+from tidemill.operators import exchange, modify
 from tidemill.plans.registry import query
 from tidemill.session import table
 
@@ -85,3 +85,24 @@ def join_runtime_filter(spark, sf):
     spark.conf.set(name, "1MB")
     l, o = table(spark, sf, "lineitem").select("l_orderkey"), table(spark, sf, "orders").filter("o_totalprice > 350000").select("o_orderkey")
     return l.join(o.hint("merge"), l["l_orderkey"] == o["o_orderkey"]).agg(F.count("*").alias("n"))
+
+
+@query("exchange_modes", "SELECT m AS mode, n, total FROM (SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders), (SELECT unnest(['DIRECT', 'PARTITION', 'RANDOM', 'RANGE', 'SINGLE']) AS m)")
+def exchange_modes(spark, sf):
+    """Every distribution keeps all rows."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    made = None
+    for mode in ("DIRECT", "PARTITION", "RANDOM", "RANGE", "SINGLE"):
+        keys = ["o_orderkey"] if mode in {"PARTITION", "RANGE"} else []
+        part = exchange.exchange(o, mode, *keys).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total")).select(F.lit(mode).alias("mode"), "n", "total")
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+@query("exchange_udf_hash", "SELECT count(*) AS n, TRUE AS inside FROM customer")
+def exchange_udf_hash(spark, sf):
+    """A function of the columns as the partition key."""
+    from tidemill.sources.files import partition_id
+
+    p = partition_id("UDF_HASH", [F.lower(F.col("c_name"))], 8)
+    return table(spark, sf, "customer").select(p.alias("p")).agg(F.count("*").alias("n"), ((F.min("p") >= 0) & (F.max("p") < 8)).alias("inside"))

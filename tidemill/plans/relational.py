@@ -18,9 +18,9 @@ def _sum(x, digits: int = 2):
 # --- scans and plumbing -----------------------------------------------------------
 
 
-@query("scan_filter", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+@query("scan_filter", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 def scan_filter(spark: SparkSession, sf: str) -> DataFrame:
-    keep = (F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24)
+    keep = (F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24)
     return scan.prune(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity"], keep)
 
 

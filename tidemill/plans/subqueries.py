@@ -20,7 +20,7 @@ def sql(name: str, tables: str, text: str, oracle: str | None = None) -> None:
     query(name, oracle or text)(build)
 
 
-sql("sub_scalar", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM orders)")
+sql("sub_scalar", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.9 FROM orders)")
 sql("sub_scalar_select", "nation region", "SELECT n_name, (SELECT max(r_name) FROM region) AS top FROM nation")
 sql("sub_correlated", "orders", "SELECT o_orderkey FROM orders a WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders b WHERE b.o_custkey = a.o_custkey)")
 sql("sub_exists", "customer orders", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
