@@ -1,6 +1,8 @@
+import re
+
 import numpy as np
+import pytest
 import xxhash
-import re
 from pyspark.sql import functions as F
 
 from tidemill.llm import simhash_dedup as op
@@ -41,7 +43,8 @@ def test_matches_brute_force(spark, sf_small):
     assert {i: c for i, (_, c) in got.items()} == slow_groups(expected)
 
 
-def test_links_of_dense_and_random_prints(spark):
+@pytest.mark.parametrize("radius, bucket", [(3, 16), (3, 1 << 16), (5, 1 << 16), (8, 1 << 16), (8, 64)])
+def test_links_of_dense_and_random_prints(spark, radius, bucket):
     rng = np.random.default_rng(5)
     prints = {int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 200)}
     for centre in list(prints)[:5]:  # balls and chains around a few of them
@@ -54,15 +57,15 @@ def test_links_of_dense_and_random_prints(spark):
             x = base
     rows = [(f, i) for i, f in enumerate(sorted(prints))]
     df = spark.createDataFrame(rows, "fp long, id long")
-    old, op.BUCKET = op.BUCKET, 16  # so that buckets are dealt out again
+    old, op.BUCKET = op.BUCKET, bucket  # small: buckets are dealt out again
     try:
-        links = op.links(df).collect()
+        links = op.links(df, radius).collect()
     finally:
         op.BUCKET = old
     from tidemill.llm.components import components
 
     found = {r.node: r.component for r in components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).collect()}
-    assert {i: found.get(i, i) for _, i in rows} == slow_groups([(i, f % (1 << 64)) for f, i in rows])
+    assert {i: found.get(i, i) for _, i in rows} == slow_groups([(i, f % (1 << 64)) for f, i in rows], radius)
 
 
 def test_thresholds_follow_the_principle():
@@ -111,8 +114,8 @@ def test_one_of_near_copies_stays(spark, sf_small):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     expected = slow_kept(texts)
     assert {r.doc_id for r in op.keep_one(spark, df, "").collect()} == expected
-    old, op.BUCKET = op.BUCKET, 4  # groups go through the rounds
+    old, op.GROUP = op.GROUP, 4  # groups go through the rounds
     try:
         assert {r.doc_id for r in op.keep_one(spark, df, "").collect()} == expected
     finally:
-        op.BUCKET = old
+        op.GROUP = old

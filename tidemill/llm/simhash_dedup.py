@@ -39,10 +39,12 @@ from tidemill.llm.components import components, forest
 
 NAME = "op1_simhash_dedup"
 SQL = None
-#: Fingerprints a bucket may hold before it is dealt out by a finer key.
-BUCKET = 1024
+#: Fingerprints a bucket may hold before it is dealt out by a finer key, and documents a group before it goes by joins.
+BUCKET, GROUP = 1 << 16, 1024
 #: Cost of one shuffled row against one verified pair, for the choice of parts.
-ROW_COST = 400.0
+ROW_COST = 1000.0
+#: Pairs that are compared at once.
+PAIRS = 1 << 21
 #: Parts that are considered.
 PARTS = (2, 3, 4, 5, 6, 7)
 
@@ -123,7 +125,8 @@ def allot(pairs: list[float], widths: list[int], n: int, radius: int) -> tuple[f
         nxt: dict[int, tuple[float, list[int]]] = {}
         for total, (cost, chosen) in best.items():
             for limit in (-1, 0, 1):
-                probes = 0 if limit < 0 else 1 + width * limit
+                # a set bit is flipped on one side of a pair only
+                probes = 0 if limit < 0 else 1 + width * limit / 2
                 new = cost + probes * (same + ROW_COST * n)
                 if total + limit not in nxt or new < nxt[total + limit][0]:
                     nxt[total + limit] = (new, [*chosen, limit])
@@ -180,41 +183,65 @@ def plan(prints: DataFrame, radius: int) -> tuple[list[int], list[int]]:
 # --- probing ------------------------------------------------------------------
 
 
-def probe_keys(masks: list[int], limits: list[int]):
-    """Array of (mask, value) buckets that a fingerprint takes part in."""
+def probe_keys(masks: list[int], limits: list[int]) -> Column:
+    """Array of (mask, value) buckets that a fingerprint takes part in.
+
+    Its own value in each part, and under a threshold of one the values with one of its
+    set bits cleared: of two fingerprints that differ in one bit of a part, the one that
+    has the bit meets the other in the other's bucket.
+    """
     fp, keys = F.col("fp"), []
     for mask, limit in zip(masks, limits):
         if limit < 0:
             continue
         value = fp.bitwiseAND(F.lit(_signed(mask)))
-        keys.append(F.struct(F.lit(_signed(mask)).alias("mask"), value.alias("value")))
+        key = lambda v, mask=mask: F.struct(F.lit(_signed(mask)).alias("mask"), v.alias("value"))
+        keys.append(key(value))
         if limit == 1:
-            keys += [
-                F.struct(F.lit(_signed(mask)).alias("mask"), value.bitwiseXOR(F.lit(_signed(1 << b))).alias("value"))
-                for b in range(64)
-                if mask >> b & 1
-            ]
-    return F.array(*keys)
-
-
-def near(fp: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among the fingerprints of one bucket."""
-    a: list[int] = []
-    b: list[int] = []
-    left_fp, left_id = fp, ids
-    while len(left_fp):
-        queue = [(left_fp[0], int(left_id[0]))]
-        left_fp, left_id = left_fp[1:], left_id[1:]
-        while queue and len(left_fp):
-            x, x_id = queue.pop()
-            hit = np.bitwise_count(left_fp ^ x) <= radius
+            for b in range(64):
+                if mask >> b & 1:
+                    bit = F.lit(_signed(1 << b))
+                    keys.append(F.when(fp.bitwiseAND(bit) != 0, key(value.bitwiseXOR(bit))))
+    return F.array_compact(F.array(*keys))
+
+
+def near(own: np.ndarray, own_ids: np.ndarray, more: np.ndarray, more_ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect a bucket: among its own fingerprints, and from each of their
+    connected sets to the other fingerprints that one of them is near to."""
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    left = np.arange(len(own))
+    while len(left):
+        queue, members, left = [left[0]], [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            hit = np.bitwise_count(own[left] ^ own[x]) <= radius
             if hit.any():
-                found = left_id[hit].tolist()
-                a += found
-                b += [x_id] * len(found)
-                queue += zip(left_fp[hit], found)
-                left_fp, left_id = left_fp[~hit], left_id[~hit]
-    return a, b
+                found = left[hit]
+                left = left[~hit]
+                a.append(own_ids[found])
+                b.append(np.full(len(found), own_ids[members[0]]))
+                queue += found.tolist()
+                members += found.tolist()
+        if len(more):
+            touched = np.zeros(len(more), bool)
+            step = max(1, PAIRS // len(more))
+            for start in range(0, len(members), step):
+                part = own[members[start : start + step]]
+                touched |= (np.bitwise_count(part[:, None] ^ more[None, :]) <= radius).any(axis=0)
+            if touched.any():
+                a.append(more_ids[touched])
+                b.append(np.full(int(touched.sum()), own_ids[members[0]]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def few(own: np.ndarray, own_ids: np.ndarray, more: np.ndarray, more_ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a small bucket: its links by one comparison of all."""
+    all_, ids = np.concatenate([own, more]), np.concatenate([own_ids, more_ids])
+    x, y = np.nonzero(np.bitwise_count(own[:, None] ^ all_[None, :]) <= radius)
+    keep = x < y
+    return ids[x[keep]], ids[y[keep]]
 
 
 def _sub_masks(mask: int, parts: int) -> list[int]:
@@ -267,24 +294,26 @@ def _buckets(radius: int, last: bool):
         if not len(rows):
             return
         bounds = np.concatenate([[0], cut, [len(rows)]])
-        sizes = np.diff(bounds)
-        a: list[int] = []
-        b: list[int] = []
-        for i in np.flatnonzero(sizes > 1).tolist() if hot is None else range(len(sizes)):
+        fps, ids = np.ascontiguousarray(rows[:, 2]), np.ascontiguousarray(rows[:, 3])
+        own = fps & rows[:, 0] == rows[:, 1]
+        fps = fps.view(np.uint64)
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for i in np.flatnonzero(np.diff(bounds) > 1).tolist() if hot is None else range(len(bounds) - 1):
             s, e = int(bounds[i]), int(bounds[i + 1])
             key = (int(rows[s, 0]), int(rows[s, 1]))
             if key == hot or e - s > BUCKET and not last:
                 yield out(finer(*key, rows[s:e, 2], rows[s:e, 3]), False)
-            elif e - s == 2:
-                if (int(rows[s, 2]) ^ int(rows[s + 1, 2])) % (1 << 64) == 0 or ((int(rows[s, 2]) ^ int(rows[s + 1, 2])) % (1 << 64)).bit_count() <= radius:
-                    a.append(int(rows[s, 3]))
-                    b.append(int(rows[s + 1, 3]))
-            else:
-                x, y = near(rows[s:e, 2].view(np.uint64) if rows[s:e, 2].flags.c_contiguous else np.ascontiguousarray(rows[s:e, 2]).view(np.uint64), rows[s:e, 3], radius)
-                a += x
-                b += y
+                continue
+            mine, f, n = own[s:e], fps[s:e], ids[s:e]
+            if mine.any():
+                join = few if e - s <= 64 else near
+                x, y = join(f[mine], n[mine], f[~mine], n[~mine], radius)
+                if len(x):
+                    a.append(x)
+                    b.append(y)
         if a:
-            x, y = forest(np.array(a, np.int64), np.array(b, np.int64))
+            x, y = forest(np.concatenate(a), np.concatenate(b))
             zero = np.zeros(len(x), np.int64)
             yield out([(zero, zero, x, y)], True)
 
@@ -302,7 +331,7 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     found = None
     for level in range(3):
         dealt = rows.repartition("mask", "value").sortWithinPartitions("mask", "value")
-        done = settle(dealt.mapInArrow(_buckets(radius, last=level == 2), SCHEMA))
+        done = staged(dealt.mapInArrow(_buckets(radius, last=level == 2), SCHEMA))
         part = done.filter("link").select(F.col("fp").alias("a"), F.col("id").alias("b"))
         found = part if found is None else found.unionByName(part)
         rows = done.filter("not link").select("mask", "value", "fp", "id")
@@ -377,7 +406,7 @@ def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -
     members = grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), "component_id", "count")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id") == F.col("id"))
     open_ = staged(texts.select("doc_id", "component_id", "count", shingle_set(F.col("text")).alias("shingles")).dropDuplicates(["doc_id"]))
-    small, large = open_.filter(F.col("count") <= BUCKET).select("doc_id", "component_id", "shingles"), open_.filter(F.col("count") > BUCKET).drop("count")
+    small, large = open_.filter(F.col("count") <= GROUP).select("doc_id", "component_id", "shingles"), open_.filter(F.col("count") > GROUP).drop("count")
     gone = None
     while not large.isEmpty():
         first = large.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "shingles"), "doc_id").alias("leader"))
@@ -389,8 +418,8 @@ def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -
         rest = judged.filter("NOT near").drop("near")
         sizes = rest.groupBy("component_id").count().select(F.col("component_id").alias("c"), F.col("count").alias("left"))
         rest = rest.join(sizes, F.col("component_id") == F.col("c")).drop("c")
-        small = small.unionByName(rest.filter(F.col("left") <= BUCKET).drop("left"))
-        large = rest.filter(F.col("left") > BUCKET).drop("left")
+        small = small.unionByName(rest.filter(F.col("left") <= GROUP).drop("left"))
+        large = rest.filter(F.col("left") > GROUP).drop("left")
     found = small.groupBy("component_id").applyInArrow(_followers(threshold), "doc_id long")
     return found if gone is None else found.unionByName(gone)
 
