@@ -43,13 +43,13 @@ def test_matches_brute_force(spark, sf_small):
     assert {i: c for i, (_, c) in got.items()} == slow_groups(expected)
 
 
-@pytest.mark.parametrize("radius, bucket", [(3, 16), (3, 1 << 16), (5, 1 << 16), (8, 1 << 16), (8, 64)])
+@pytest.mark.parametrize("radius, bucket", [(3, 16), (5, 1 << 16), (8, 64)])
 def test_links_of_dense_and_random_prints(spark, radius, bucket):
     rng = np.random.default_rng(5)
     prints = {int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 200)}
     for centre in list(prints)[:5]:  # balls and chains around a few of them
         x = centre
-        for _ in range(150):
+        for _ in range(80):
             base = centre if rng.random() < 0.5 else x
             for b in rng.integers(0, 64, rng.integers(1, 4)).tolist():
                 base ^= op._signed(1 << b)

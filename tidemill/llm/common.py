@@ -32,10 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where none is named (tests)."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named.rstrip("/")
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
     return context.getCheckpointDir().rstrip("/")

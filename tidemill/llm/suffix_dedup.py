@@ -53,8 +53,8 @@ HOT, WIDTH = 200, 4
 BLOCK = 400
 #: Bytes of texts that a map task turns into one round of blobs, and of blocks that go through the arrays together.
 ROUND, BATCH = 8 << 20, 4 << 20
-#: Bytes of text for each bucket of anchors, and of segments.
-PER_BUCKET = 2 << 20
+#: Bytes of text for each bucket of anchors and of segments, and buckets at least.
+PER_BUCKET, BUCKETS = 32 << 20, 64
 
 _MULT = 0x9E3779B97F4A7C15
 _NEVER = (1 << 63) - 1
@@ -65,11 +65,10 @@ _NEVER = (1 << 63) - 1
 
 def _powers(base: int, n: int) -> np.ndarray:
     out, done = np.ones(n, np.uint64), 1
-    step = np.uint64(base)
     while done < n:
         more = min(done, n - done)
-        out[done : done + more] = out[:more] * step
-        step, done = step * step, done + more
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+        done += more
     return out
 
 
@@ -204,48 +203,60 @@ def _mix(h: np.ndarray | int, data: bytes, part: int) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=int(h).to_bytes(8, "little") + part.to_bytes(4, "little")).digest(), "little")
 
 
-def text_segments(hasher: Hasher, text: bytes, codes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+def text_segments(hasher: Hasher, data: np.ndarray, codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first string, end of strings) of the segments of a text's repeated anchors."""
-    h, place, first, end = hasher.anchors(np.frombuffer(text, np.uint8))
+    h, place, first, end = hasher.anchors(data)
     own = (_bucket(h, buckets).astype(np.int64) << np.int64(33)) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = np.searchsorted(codes, own)  # codes are sorted; a hot one is the same with bit 32 set
     cold = codes[np.minimum(at, len(codes) - 1)] == own
     wanted = own | np.int64(1 << 32)
-    hot = codes[np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)] == wanted
-    out = list(zip(h[cold].tolist(), first[cold].tolist(), end[cold].tolist()))
-    for i in np.flatnonzero(hot).tolist():
-        a = int(place[i])
-        for part in range((a - int(end[i]) + 1) // WIDTH, (a - int(first[i])) // WIDTH + 1):
-            lo, hi = max(int(first[i]), a - part * WIDTH - WIDTH + 1), min(int(end[i]), a - part * WIDTH + 1)
+    hot = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)] == wanted)
+    if not len(hot):
+        return h[cold], first[cold], end[cold]
+    keys, lows, highs = [], [], []
+    text = data.tobytes()
+    for key, a, lo, hi in zip(h[hot].tolist(), place[hot].tolist(), first[hot].tolist(), end[hot].tolist()):
+        for part in range((a - hi + 1) // WIDTH, (a - lo) // WIDTH + 1):
             # what all strings of this part have in common, wherever it is cut off
             core = text[max(0, a - part * WIDTH) : a - part * WIDTH - WIDTH + 1 + LENGTH]
-            out.append((_mix(h[i], core, part), lo, hi))
-    return out
+            keys.append(_mix(key, core, part))
+            lows.append(max(lo, a - part * WIDTH - WIDTH + 1))
+            highs.append(min(hi, a - part * WIDTH + 1))
+    return (
+        np.concatenate([h[cold], np.array(keys, np.uint64)]), np.concatenate([first[cold], np.array(lows, np.int64)]),
+        np.concatenate([end[cold], np.array(highs, np.int64)]),
+    )
+
+
+def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The integers of several ranges one after the other."""
+    first = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - first, size)
 
 
 def _emit_segments(buckets: int, dealt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for rows in _rounds(batches, 2):
-            keys, ids, docs, first, count, data = [], [], [], [], [], []
-            for k, th, text, codes in rows:
-                for key, lo, hi in text_segments(hasher, text, np.sort(np.array(codes, np.int64)), buckets):
-                    keys.append(key)
-                    ids.append(k)
-                    docs.append(th)
-                    first.append(lo)
-                    count.append(hi - lo)
-                    data.append(text[lo : hi + LENGTH - 1])
-            if not keys:
-                continue
-            keys, ids, docs = np.array(keys, np.uint64), np.array(ids, np.int64), np.array(docs, np.int64)
-            first, count = np.array(first, np.uint32), np.array(count, np.uint8)
+            keys, first, count, who = [], [], [], []
+            joined = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+            sizes = np.array([len(r[2]) for r in rows])
+            begin = np.cumsum(sizes) - sizes
+            for i, (_, _, _, codes) in enumerate(rows):
+                key, lo, hi = text_segments(hasher, joined[begin[i] : begin[i] + sizes[i]], np.sort(np.array(codes, np.int64)), buckets)
+                keys.append(key)
+                first.append(lo)
+                count.append(hi - lo)
+                who.append(np.full(len(key), i))
+            keys, first, count, who = map(np.concatenate, (keys, first, count, who))
             where = _bucket(keys * np.uint64(_MULT), dealt)
+            ids, docs = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             out = []
             for b, at in _split(np.argsort(where, kind="stable"), where):
-                strings = np.frombuffer(b"".join([data[i] for i in at.tolist()]), np.uint8)
-                out.append((b, _blob(keys[at], ids[at], docs[at], first[at], count[at], strings)))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], ["bucket", "blob"])
+                strings = joined[_pieces(begin[who[at]] + first[at], count[at] + LENGTH - 1)]
+                out.append((b, _blob(keys[at], ids[who[at]], docs[who[at]], first[at].astype(np.uint32), count[at].astype(np.uint8), strings)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], ["bucket", "blob"])
 
     return run
 
@@ -344,7 +355,8 @@ def _judge(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
             groups[-1].append(j)
         else:
             groups.append([j])
-    small = [j for g in groups if 1 < len(g) <= BLOCK for j in g]
+    # blocks of like size go through the arrays together: a long one needs many more steps
+    small = [j for g in sorted((g for g in groups if 1 < len(g) <= BLOCK), key=len) for j in g]
     found: dict[int, np.ndarray] = dict(zip(small, least_documents([(names[j][0] & _NEVER, names[j][1], least[j]) for j in small])))
     for g in groups:
         if len(g) > BLOCK:
@@ -403,7 +415,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(documents)
     first = staged(keyed.groupBy("th", "n_bytes").agg(F.min("k").alias("least")))
     total = first.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(8, round(total / PER_BUCKET))
+    buckets = max(BUCKETS, round(total / PER_BUCKET))
     long_ = keyed.filter(F.col("n_bytes") >= LENGTH)
     blobs = long_.select("th", "text").mapInArrow(_emit_anchors(buckets), "bucket long, blob binary")
     anchors = blobs.groupBy("bucket").applyInArrow(_repeated, "th long, anchor long")
