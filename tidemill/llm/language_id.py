@@ -7,8 +7,8 @@ cross-entropy per character. A text whose best cross-entropy is above a cutoff
 calibrated on texts that the models have not seen is rejected.
 
 The models are fitted on a bounded sample of labelled rows: ``PER_LANGUAGE`` whole
-texts on average for each of the ``LANGUAGES`` most frequent languages, chosen by a
-hash of the id. Every text is scored whole.
+texts on average, and ``SAMPLE`` in all, for the ``LANGUAGES`` most frequent languages,
+chosen by a hash of the id. Every text is scored whole.
 
 Defined cases
     * null text or a text without a letter gets ``und`` with score 0, rejected
@@ -33,8 +33,8 @@ NAME = "op7_language_id"
 SQL = None
 #: Length of the longest n-gram.
 ORDER = 4
-#: Labelled texts for each language, on average, and languages at most.
-PER_LANGUAGE, LANGUAGES = 400, 200
+#: Labelled texts for each language and in all, on average, and languages at most.
+PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 4000, 64
 #: Bytes of text that are scored at once.
 BLOCK = 1 << 20
 #: Characters beyond the highest cross-entropy of the calibration texts, in bits.
@@ -259,10 +259,9 @@ class Model:
 def sample(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Labelled training rows, about ``per_language`` for each language, by a hash of the id."""
     usable = documents.select("doc_id", "lang", "text").filter((fold() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = (
-        usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-        .select(F.col("lang").alias("rate_lang"), (F.lit(float(per_language)) / F.col("count")).alias("rate"))
-    )
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    each = float(min(per_language, SAMPLE / max(len(counts), 1)))
+    rates = documents.sparkSession.createDataFrame([(r["lang"], each / r["count"]) for r in counts], "rate_lang string, rate double")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # at most LANGUAGES rows on the right
     return usable.join(F.broadcast(rates), F.col("lang") == F.col("rate_lang")).filter(draw < F.col("rate")).select("doc_id", "lang", "text")

@@ -52,7 +52,7 @@ HOT, WIDTH = 200, 4
 #: Segments of a block at most; beyond it strings are compared one by one.
 BLOCK = 400
 #: Bytes of texts that a map task turns into one round of blobs, and of blocks that go through the arrays together.
-ROUND, BATCH = 8 << 20, 4 << 20
+ROUND, BATCH = 8 << 20, 1 << 20
 #: Bytes of text for each bucket of anchors and of segments, and buckets at least.
 PER_BUCKET, BUCKETS = 32 << 20, 64
 
