@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Storage engines and the Hadoop schemes that stand for them.
-ENGINES = {"LOCAL_DISK": "file://", "EXTERNAL_DISK": "file://", "NFS": "file://", "OSS": "oss://", "S3": "s3a://", "ABS": "abfss://", "MEMORY": None}
+ENGINES = {"LOCAL_DISK": "file://", "EXTERNAL_DISK": "file://", "NFS": "file://", "OBJECT_STORE": "s3a://", "ABS": "abfss://", "MEMORY": None}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
