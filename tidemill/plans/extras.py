@@ -183,3 +183,15 @@ mysql(
     "SET spark.tidemill.unused = 1; SELECT o_orderkey, TO_DAYS(o_orderdate) AS d, FROM_DAYS(TO_DAYS(o_orderdate)) AS f, STRCMP(o_orderstatus, 'O') AS s, TRUNCATE(o_totalprice, 1) AS t, BIT_NOT64(5) AS n FROM orders",
     "SELECT o_orderkey, (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 719528)::BIGINT AS d, o_orderdate::DATE AS f, CASE WHEN o_orderstatus < 'O' THEN -1 WHEN o_orderstatus > 'O' THEN 1 ELSE 0 END AS s, (trunc(o_totalprice::DECIMAL(18,2) * 10) / 10)::DOUBLE AS t, 18446744073709551610::DECIMAL(20,0) AS n FROM orders",
 )
+
+mysql(
+    "dialect_dates", "orders",
+    "SELECT o_orderkey, DATE_ADD(o_orderdate, INTERVAL 1 MONTH) AS a, DATE_SUB(o_orderdate, INTERVAL o_custkey % 7 DAY) AS b, DATE_FORMAT(o_orderdate, '%Y/%m/%d %W') AS c, DATE_ADD(o_orderdate, INTERVAL '1 6' DAY_HOUR) AS d, STR_TO_DATE('03.02.2001', '%d.%m.%Y') AS e, MONTHNAME(o_orderdate) AS m FROM orders",
+    "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS a, o_orderdate - (o_custkey % 7) * INTERVAL 1 DAY AS b, strftime(o_orderdate, '%Y/%m/%d %A') AS c, o_orderdate + INTERVAL 30 HOUR AS d, TIMESTAMP '2001-02-03' AS e, monthname(o_orderdate) AS m FROM orders",
+)
+mysql(
+    "dialect_values", "nation",
+    "SELECT n_nationkey, ELT(n_regionkey, 'a', 'b') AS e, FIELD(n_regionkey, 3, 1) AS f, GREATEST(n_regionkey, NULLIF(n_nationkey, 3)) AS g, CAST(n_nationkey AS SIGNED) AS s, CAST(n_nationkey AS CHAR) AS c, CONVERT(n_name USING utf8mb4) AS u, MOD(n_nationkey, n_regionkey) AS m, SQRT(0 - n_nationkey - 1) AS q FROM nation",
+    "SELECT n_nationkey, CASE n_regionkey WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS e, CASE n_regionkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS f, CASE WHEN n_nationkey <> 3 THEN greatest(n_regionkey, n_nationkey) END AS g, n_nationkey::BIGINT AS s, n_nationkey::VARCHAR AS c, n_name AS u, n_nationkey % nullif(n_regionkey, 0) AS m, NULL::DOUBLE AS q FROM nation",
+)
+mysql("dialect_dual", "region", "SELECT 1 + 1 AS two, LENGTH('é') AS bytes FROM DUAL", "SELECT 2 AS two, 2 AS bytes")
