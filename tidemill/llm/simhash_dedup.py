@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, settle, staged, table, utf8
+from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, release, settle, staged, table, utf8
 from tidemill.llm.components import components, forest
 
 NAME = "op1_simhash_dedup"
@@ -406,6 +406,8 @@ def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -
     members = grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), "component_id", "count")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id") == F.col("id"))
     open_ = staged(texts.select("doc_id", "component_id", "count", shingle_set(F.col("text")).alias("shingles")).dropDuplicates(["doc_id"]))
+    del grouped, several, members, texts
+    release(documents.sparkSession)
     small, large = open_.filter(F.col("count") <= GROUP).select("doc_id", "component_id", "shingles"), open_.filter(F.col("count") > GROUP).drop("count")
     gone = None
     while not large.isEmpty():

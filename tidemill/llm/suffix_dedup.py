@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import staged, table
+from tidemill.llm.common import release, staged, table
 from tidemill.llm.gsaca import suffix_arrays
 
 NAME = "op3_suffix_dedup"
@@ -420,13 +420,18 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     blobs = long_.select("th", "text").mapInArrow(_emit_anchors(buckets), "bucket long, blob binary")
     anchors = blobs.groupBy("bucket").applyInArrow(_repeated, "th long, anchor long")
     codes = staged(anchors.groupBy("th").agg(F.collect_list("anchor").alias("codes")).join(first, "th").select("th", "n_bytes", "least", "codes"))
+    del blobs, anchors
+    release(documents.sparkSession)
     rows = long_.join(
         codes.select(F.col("th").alias("code_th"), F.col("n_bytes").alias("size"), "least", "codes"),
         (F.col("th") == F.col("code_th")) & (F.col("k") == F.col("least")) & (F.col("n_bytes") == F.col("size")),
     )
     segments = rows.select("k", "th", "text", "codes").mapInArrow(_emit_segments(buckets, buckets), "bucket long, blob binary")
     runs = segments.groupBy("bucket").applyInArrow(_judge, "th long, run long")
-    return first, staged(runs.groupBy("th").agg(F.collect_set("run").alias("runs")))
+    done = staged(runs.groupBy("th").agg(F.collect_set("run").alias("runs")))
+    del rows, segments, runs
+    release(documents.sparkSession)
+    return first, done
 
 
 def _apply(schema: str, shape):
