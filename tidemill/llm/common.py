@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -88,6 +90,27 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def trim() -> None:
+    """Give a worker's freed memory back to the system, so that the next stage does not add to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A map over record batches that trims its worker when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, over the tasks that reuse it."""
     return sys.modules.setdefault("_tidemill_worker_cache", types.ModuleType("_tidemill_worker_cache")).__dict__

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fold, table
+from tidemill.llm.common import fold, table, tidy
 
 NAME = "op7_language_id"
 SQL = None
@@ -36,7 +36,7 @@ ORDER = 4
 #: Labelled texts for each language and in all, on average, and languages at most.
 PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 4000, 64
 #: Bytes of text that are scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Characters beyond the highest cross-entropy of the calibration texts, in bits.
 MARGIN = 1.0
 
@@ -291,8 +291,8 @@ def identify(documents: DataFrame, model: Model | None, extra: str = "") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 texts = part.column(1).to_pylist()
                 known = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
                 pred = ["und"] * len(texts)
@@ -310,7 +310,7 @@ def identify(documents: DataFrame, model: Model | None, extra: str = "") -> Data
                 )
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
+    return rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,8 +329,8 @@ def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 texts = part.column(at).to_pylist()
                 known = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
                 keep = np.zeros(len(texts), bool)
@@ -338,4 +338,4 @@ def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     keep[known] = m.entropies([texts[i] for i in known]).min(axis=1) <= m.cutoff
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, release, settle, staged, table, utf8
+from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, release, settle, staged, table, tidy, utf8
 from tidemill.llm.components import components, forest
 
 NAME = "op1_simhash_dedup"
@@ -72,13 +72,15 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            prints = np.array([fingerprint(t) for t in utf8(part.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp) of every whole text; fp is the fingerprint as a signed long."""
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
 
 
 # --- allocation ---------------------------------------------------------------
@@ -331,7 +333,7 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     found = None
     for level in range(3):
         dealt = rows.repartition("mask", "value").sortWithinPartitions("mask", "value")
-        done = staged(dealt.mapInArrow(_buckets(radius, last=level == 2), SCHEMA))
+        done = staged(dealt.mapInArrow(tidy(_buckets(radius, last=level == 2)), SCHEMA))
         part = done.filter("link").select(F.col("fp").alias("a"), F.col("id").alias("b"))
         found = part if found is None else found.unionByName(part)
         rows = done.filter("not link").select("mask", "value", "fp", "id")

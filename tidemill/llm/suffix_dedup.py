@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import release, staged, table
+from tidemill.llm.common import release, staged, table, tidy, trim
 from tidemill.llm.gsaca import suffix_arrays
 
 NAME = "op3_suffix_dedup"
@@ -131,13 +131,15 @@ def _rounds(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tuple
     """Rows of about ROUND bytes of text at a time."""
     held, size = [], 0
     for batch in batches:
-        columns = [c.cast(pa.large_binary()).to_pylist() if i == text else c.to_pylist() for i, c in enumerate(batch.columns)]
-        for row in zip(*columns):
-            held.append(row)
-            size += len(row[text] or b"")
-            if size >= ROUND:
-                yield held
-                held, size = [], 0
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            columns = [c.cast(pa.large_binary()).to_pylist() if i == text else c.to_pylist() for i, c in enumerate(part.columns)]
+            for row in zip(*columns):
+                held.append(row)
+                size += len(row[text] or b"")
+                if size >= ROUND:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -193,7 +195,9 @@ def _repeated(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
     # bits 0-31 low half, bit 32 hot; the bucket follows from the text's own hashes
     code = low.astype(np.int64) | np.repeat((size > HOT).astype(np.int64) << 32, size)
     bucket = np.int64(key[0].as_py()) << np.int64(33)
-    return pa.table([pa.array(who[keep]), pa.array(code[keep] | bucket)], names=["th", "anchor"])
+    found = pa.table([pa.array(who[keep]), pa.array(code[keep] | bucket)], names=["th", "anchor"])
+    trim()
+    return found
 
 
 # --- segments -------------------------------------------------------------------
@@ -376,6 +380,8 @@ def _judge(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
                     runs.append(np.array([a << 32 | b], np.int64))
     texts = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     runs = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+    del names, found, places
+    trim()
     return pa.table([pa.array(texts, pa.int64()), pa.array(runs, pa.int64())], names=["th", "run"])
 
 
@@ -417,7 +423,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = first.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(BUCKETS, round(total / PER_BUCKET))
     long_ = keyed.filter(F.col("n_bytes") >= LENGTH)
-    blobs = long_.select("th", "text").mapInArrow(_emit_anchors(buckets), "bucket long, blob binary")
+    blobs = long_.select("th", "text").mapInArrow(tidy(_emit_anchors(buckets)), "bucket long, blob binary")
     anchors = blobs.groupBy("bucket").applyInArrow(_repeated, "th long, anchor long")
     codes = staged(anchors.groupBy("th").agg(F.collect_list("anchor").alias("codes")).join(first, "th").select("th", "n_bytes", "least", "codes"))
     del blobs, anchors
@@ -426,7 +432,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         codes.select(F.col("th").alias("code_th"), F.col("n_bytes").alias("size"), "least", "codes"),
         (F.col("th") == F.col("code_th")) & (F.col("k") == F.col("least")) & (F.col("n_bytes") == F.col("size")),
     )
-    segments = rows.select("k", "th", "text", "codes").mapInArrow(_emit_segments(buckets, buckets), "bucket long, blob binary")
+    segments = rows.select("k", "th", "text", "codes").mapInArrow(tidy(_emit_segments(buckets, buckets)), "bucket long, blob binary")
     runs = segments.groupBy("bucket").applyInArrow(_judge, "th long, run long")
     done = staged(runs.groupBy("th").agg(F.collect_set("run").alias("runs")))
     del rows, segments, runs
@@ -472,7 +478,7 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
     def shape(row, kept, spans):
         return row[0], len(row[1]), len(row[1]) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
-    return _originals(keyed, first, runs).select("doc_id", "text", "runs").mapInArrow(_apply(schema, shape), schema).unionByName(copies)
+    return _originals(keyed, first, runs).select("doc_id", "text", "runs").mapInArrow(tidy(_apply(schema, shape)), schema).unionByName(copies)
 
 
 def _originals(keyed: DataFrame, first: DataFrame, runs: DataFrame) -> DataFrame:
@@ -516,5 +522,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                 columns = [*part.columns[:at], pa.array(kept, pa.string()), *part.columns[at + 1 : -1]]
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1]).filter(mask)
 
-    left = found.mapInArrow(run, docs.schema).unionByName(copies)
+    left = found.mapInArrow(tidy(run), docs.schema).unionByName(copies)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
