@@ -7,6 +7,7 @@ import gc
 import re
 import sys
 import tempfile
+import time
 import types
 import uuid
 from collections.abc import Iterator
@@ -66,8 +67,10 @@ def release(spark: SparkSession) -> None:
     Spark does so when the driver collects garbage, which on a large heap can take until
     the disks of the executors are full. Called after a step whose result is staged.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the driver's JVM a little later
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def discard(df: DataFrame) -> None:
