@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, release, settle, staged, table, tidy, utf8
+from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, release, settle, staged, table, tidy, trim, utf8
 from tidemill.llm.components import components, forest
 
 NAME = "op1_simhash_dedup"
 SQL = None
 #: Fingerprints a bucket may hold before it is dealt out by a finer key, and documents a group before it goes by joins.
-BUCKET, GROUP = 1 << 16, 1024
+BUCKET, GROUP = 1 << 16, 4096
 #: Cost of one shuffled row against one verified pair, for the choice of parts.
 ROW_COST = 1000.0
 #: Pairs that are compared at once.
@@ -371,24 +371,52 @@ def shingle_set(text: Column, size: int = 5) -> Column:
     return F.array_distinct(F.element_at(F.call_function("transform", F.array(words), each), 1))
 
 
-def similarity(a: set[int], b: set[int]) -> float:
-    """Jaccard similarity; two texts without words are the same."""
-    if not a and not b:
-        return 1.0
-    shared = len(a & b)
-    return shared / (len(a) + len(b) - shared)
+def followers(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[int]:
+    """Ids, in ascending order, whose set is similar to that of a smaller id which stays.
+
+    Prefix filter: ordered by how many sets have them, similar sets share one of their
+    rarest elements, so only those that stay with such an element are compared.
+    """
+    values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64), None)
+    stays: list[np.ndarray] = []
+    index: dict[int, list[int]] = {}
+    gone, empty = [], False
+    for doc, own in zip(ids, sets):
+        if not len(own):  # texts without words are the same
+            if empty:
+                gone.append(doc)
+            empty = True
+            continue
+        own = np.sort(own)
+        at = np.searchsorted(values, own)
+        rare = own[np.lexsort((own, counts[at]))][: len(own) - int(np.ceil(threshold * len(own))) + 1].tolist()
+        near = False
+        for k in {k for h in rare for k in index.get(h, ())}:
+            other = stays[k]
+            if min(len(own), len(other)) >= threshold * max(len(own), len(other)):
+                small, large = (own, other) if len(own) <= len(other) else (other, own)
+                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                shared = int((large[place] == small).sum())
+                near = shared >= threshold * (len(own) + len(other) - shared)
+                if near:
+                    break
+        if near:
+            gone.append(doc)
+        else:
+            for h in rare:
+                index.setdefault(h, []).append(len(stays))
+            stays.append(own)
+    return gone
 
 
 def _followers(threshold: float):
     def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
-        rows = sorted(zip(held.column("doc_id").to_pylist(), map(set, held.column("shingles").to_pylist())), key=lambda r: r[0])
-        leaders: list[set[int]] = []
-        gone = []
-        for doc, own in rows:
-            if any(min(len(own), len(x)) >= threshold * max(len(own), len(x)) and similarity(own, x) >= threshold for x in leaders):
-                gone.append(doc)
-            else:
-                leaders.append(own)
+        ids = held.column("doc_id").to_numpy()
+        order = np.argsort(ids)
+        lists = held.column("shingles").combine_chunks()
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        gone = followers(ids[order].tolist(), [flat[bounds[i] : bounds[i + 1]] for i in order.tolist()], threshold)
+        trim()
         return pa.table([pa.array(gone, pa.int64())], names=["doc_id"])
 
     return run
