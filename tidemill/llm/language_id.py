@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -286,10 +287,10 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 def identify(documents: DataFrame, model: Model | None, extra: str = "") -> DataFrame:
     """doc_id, lang_pred, score, rejected, cross_entropy of every whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = cloudpickle.loads(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
@@ -322,12 +323,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the model rejects go."""
     model = fit(docs)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = cloudpickle.loads(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,10 +270,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Lexicon:
 
 def toxicity(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score, n_hits, n_words of every whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(lexicon)  # at most ENTRIES + EXCEPTIONS strings
+    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(lexicon))  # at most ENTRIES + EXCEPTIONS strings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
+        lex = cloudpickle.loads(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
