@@ -119,3 +119,24 @@ def test_one_of_near_copies_stays(spark, sf_small):
         assert {r.doc_id for r in op.keep_one(spark, df, "").collect()} == expected
     finally:
         op.GROUP = old
+
+
+def test_near_copies_in_different_groups_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    expected = slow_kept(texts, radius=64)  # over all pairs
+    assert expected < slow_kept(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in op.keep_one(spark, df, "").collect()} == expected
+
+
+def test_prefixes_of_similar_sets_share_enough():
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        n = int(rng.integers(1, 60))
+        a = rng.permutation(200)[:n]
+        b = np.union1d(a[rng.random(n) < 0.95], rng.integers(0, 200, rng.integers(0, 6)))
+        shared = len(np.intersect1d(a, b))
+        if len(b) and shared >= 0.8 * (n + len(b) - shared):
+            first = [np.sort(x)[: len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + 1] for x in (a, b)]
+            assert len(np.intersect1d(*first)) >= op.least_shared(n + len(b), max(n, len(b)), 0.8) >= 1

@@ -45,6 +45,8 @@ BUCKET, GROUP = 1 << 16, 4096
 ROW_COST = 1000.0
 #: Pairs that are compared at once.
 PAIRS = 1 << 21
+#: Documents whose shingles tell which are common, on average, and how many of those are known; only the order of shingles depends on them.
+COMMON_DOCS, COMMON = 1 << 14, 1 << 17
 #: Parts that are considered.
 PARTS = (2, 3, 4, 5, 6, 7)
 
@@ -422,16 +424,139 @@ def _followers(threshold: float):
     return run
 
 
+def least_shared(total: int | Column, most: int | Column, threshold: float):
+    """Prefix shingles that two sets of ``total`` shingles, ``most`` in the larger, share at least if they are similar.
+
+    The prefix that ends first is known whole on both sides; what it doesn't share is not shared.
+    """
+    ceil = F.ceil if isinstance(total, Column) else np.ceil
+    return ceil(total * (threshold / (1 + threshold)) - 1e-9) - ceil(most * threshold - 1e-9) + 1
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, n, same, prefix) of (doc_id, shingles): size, a hash of the set, and its rarest shingles.
+
+    The order of shingles is the same for all sets: those that no bounded sample shows as
+    common by their hash, then the others by how many texts of the sample have them.
+    Similar sets share a shingle of their prefixes whatever the order is.
+    """
+    spread = F.lit(max(1, sets.count() // COMMON_DOCS))
+    known = sets.filter(F.pmod(F.xxhash64("doc_id"), spread) == 0).select(F.explode("shingles").alias("h")).groupBy("h").count()
+    known = known.filter("count >= 3").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    hashes, counts = known.column(0).to_numpy(), known.column(1).to_numpy()
+    order = np.argsort(hashes)
+    shared = sets.sparkSession.sparkContext.broadcast((hashes[order], counts[order]))  # at most COMMON shingles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sizes = part.column(1).value_lengths().to_numpy().astype(np.int64)
+                flat = part.column(1).flatten().to_numpy()
+                count = np.zeros(len(flat), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                    count = np.where(common[at] == flat, often[at], 0)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                flat = flat[np.lexsort((flat, count, row))]
+                keep = np.where(sizes > 0, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, 0)
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[place < keep[row]]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), part.column(2), prefix], ["doc_id", "n", "same", "prefix"])
+
+    rows = sets.select("doc_id", "shingles", F.xxhash64(F.sort_array("shingles")).alias("same"))
+    return rows.mapInArrow(tidy(run), "doc_id long, n long, same long, prefix array<long>")
+
+
+def _meet(threshold: float):
+    """Pairs (a, b, total, most) of sorted rows (h, id, component, n) with the same h, similar sizes and different components."""
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, ids, group, n = rows.T
+        live, d, held, size = np.arange(len(rows)), 1, [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b", "total", "most"])
+
+        while True:
+            live = live[live + d < len(rows)]
+            live = live[h[live] == h[live + d]]
+            if not len(live):
+                break
+            most, least = np.maximum(n[live], n[live + d]), np.minimum(n[live], n[live + d])
+            x = live[(group[live] != group[live + d]) & (least >= threshold * most - 1e-9)]
+            if len(x):
+                y = x + d
+                held.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), n[x] + n[y], np.maximum(n[x], n[y])))
+                size += len(x)
+                if size >= 1 << 16:
+                    yield out()
+                    held, size = [], 0
+            d += 1
+        if held:
+            yield out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
+            if not len(rows):
+                continue
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last value may go on in the next batch
+            if cut or held and held[-1][-1, 0] != rows[0, 0]:
+                yield from pairs(np.concatenate([*held, rows[:cut]]))
+                held = []
+            held.append(rows[cut:])
+        if held:
+            yield from pairs(np.concatenate(held))
+
+    return run
+
+
+def joined_groups(documents: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, component_id): the groups, joined where documents of two of them are similar.
+
+    Exact: similar sets share a shingle of their prefixes, so pairs in different groups
+    that share enough of them are all compared by their whole sets. Texts with the same
+    set are looked for once.
+    """
+    sets = documents.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_set(F.col("text")).alias("shingles"))
+    marks = staged(prefixes(sets, threshold).dropDuplicates(["doc_id"]))
+    firsts = marks.groupBy("same").agg(F.min("doc_id").alias("first"))
+    groups = staged(marks.select("doc_id", "same").join(firsts, "same").join(grouped, "doc_id").select("doc_id", "first", "component_id"))
+    rows = marks.join(groups.filter("doc_id = first").select("doc_id", "component_id"), "doc_id").select(F.explode("prefix").alias("h"), "doc_id", "component_id", "n")
+    met = rows.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_meet(threshold)), "a long, b long, total long, most long")
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("total").alias("total"), F.first("most").alias("most"))
+    pairs = staged(shared.filter(F.col("shared") >= least_shared(F.col("total"), F.col("most"), threshold)).select("a", "b"))
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    asked = staged(sets.join(asked, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    side = lambda name: asked.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
+    common, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    similar = pairs.join(side("a"), "a").join(side("b"), "b").filter(common >= threshold * (total - common)).select("a", "b")
+    similar = similar.union(groups.filter("doc_id != first").select("doc_id", "first"))
+    of = lambda name: groups.select(F.col("doc_id").alias(name), F.col("component_id").alias(f"{name}_group"))
+    links = similar.join(of("a"), "a").join(of("b"), "b").filter("a_group != b_group").select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).distinct()
+    joined = components(links)
+    found = groups.join(joined, F.col("component_id") == F.col("node"), "left")
+    return staged(found.select("doc_id", F.coalesce("component", "component_id").alias("component_id")))
+
+
 def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -> DataFrame:
     """Ids of documents that are similar to a document with a smaller id which itself stays.
 
-    Candidates are the SimHash groups at a wider radius; within a group, in order of
-    doc_id, a document goes if the Jaccard similarity of its five-word shingles to one
-    that stays is at least the threshold. A group of up to ``BUCKET`` documents is one
-    task's; a larger one first loses the followers of its smallest document, by a join,
-    again and again until it is small.
+    In order of doc_id a document goes if the Jaccard similarity of its five-word
+    shingles to one that stays is at least the threshold. Candidates are the SimHash
+    groups at a wider radius, joined by an exact prefix-filter join where similar
+    documents are in different ones, so no similar pair is left out. A group of up to
+    ``GROUP`` documents is one task's; a larger one first loses the followers of its
+    smallest document, by a join, again and again until it is small.
     """
-    grouped = simhash_dedup(documents.filter("doc_id IS NOT NULL"), radius).select("doc_id", "component_id").distinct()
+    documents = documents.filter("doc_id IS NOT NULL")
+    grouped = staged(simhash_dedup(documents, radius).select("doc_id", "component_id").distinct())
+    release(documents.sparkSession)
+    grouped = joined_groups(documents, grouped, threshold)
     several = grouped.groupBy("component_id").count().filter("count > 1")
     members = grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), "component_id", "count")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id") == F.col("id"))
