@@ -54,3 +54,28 @@ def test_defined_cases(spark):
     assert {r.lang_pred for r in none} == {"und"}
     kept = op.keep_known(spark, df, "")
     assert kept.columns == df.columns and {100, 101, 102, 104} & {r.doc_id for r in kept.collect()} == set()
+
+
+def _language(k):
+    """Texts of words over four letters of its own."""
+    a = [chr(0x4E00 + 4 * k + i) for i in range(4)]
+    return [" ".join("".join(a[(i + j * k + m) % 4] for m in range(3)) for j in range(12)) for i in range(8)]
+
+
+def test_shards_score_like_one_model():
+    texts = {f"l{k:02d}": _language(k) for k in range(7)}
+    one, many = op.Model(texts), op.Shards(texts, 3)
+    probe = [t[0] for t in texts.values()] + ["unseen words", "x"]
+    assert many.langs == one.langs and len(many.models) == 3
+    assert np.allclose(one.entropies(probe), many.entropies(probe), atol=1e-4)
+
+
+def test_every_labelled_language_has_a_model(spark):
+    n = op.LANGUAGES + 6
+    rows = [(100 * k + i, t, f"l{k:02d}") for k in range(n) for i, t in enumerate(_language(k) * (1 if k >= op.LANGUAGES else 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op.fit(df)
+    assert model.langs == [f"l{k:02d}" for k in range(n)]
+    got = op.identify(df, model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id // 100:02d}" and not r.rejected for r in got)
+    assert op.keep_known(spark, df, "").count() == len(rows)

@@ -6,9 +6,12 @@ log-probabilities for each language. A text gets the language with the lowest
 cross-entropy per character. A text whose best cross-entropy is above a cutoff
 calibrated on texts that the models have not seen is rejected.
 
-The models are fitted on a bounded sample of labelled rows: ``PER_LANGUAGE`` whole
-texts on average, and ``SAMPLE`` in all, for the ``LANGUAGES`` most frequent languages,
-chosen by a hash of the id. Every text is scored whole.
+Every labelled language has a model. The models are fitted on a bounded sample of
+labelled rows: ``PER_LANGUAGE`` whole texts on average, fewer beyond ``SAMPLE`` in all
+but ``LEAST`` at least (and one in any case), chosen by a hash of the id. The matrix has
+a column a language, so more than ``LANGUAGES`` of them are split over several models
+(``Shards``), and a text gets the lowest cross-entropy over all. Every text is scored
+whole.
 
 Defined cases
     * null text or a text without a letter gets ``und`` with score 0, rejected
@@ -34,8 +37,8 @@ NAME = "op7_language_id"
 SQL = None
 #: Length of the longest n-gram.
 ORDER = 4
-#: Labelled texts for each language and in all, on average, and languages at most.
-PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 4000, 64
+#: Labelled texts for each language and in all, on average; texts that a language keeps on average however many there are; languages of one model.
+PER_LANGUAGE, SAMPLE, LEAST, LANGUAGES = 400, 4000, 20, 64
 #: Bytes of text that are scored at once.
 BLOCK = 1 << 18
 #: Characters beyond the highest cross-entropy of the calibration texts, in bits.
@@ -119,13 +122,21 @@ class Sorted:
         return out
 
 
+def alphabet_size(texts: dict[str, list[str]]) -> int:
+    """Different symbols of all texts, and one for all others."""
+    seen = np.zeros(0, np.uint64)
+    for v in texts.values():
+        seen = np.unique(np.concatenate([seen, *map(symbols, v)]))
+    return len(seen) + 1
+
+
 class Model:
     """Interpolated Kneser-Ney models of several languages over shared n-grams."""
 
-    def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
+    def __init__(self, texts: dict[str, list[str]], order: int = ORDER, alphabet: int | None = None):
         self.langs, self.order = sorted(texts), order
         streams = {k: [symbols(t) for t in texts[k]] for k in self.langs}
-        alphabet = len(np.unique(np.concatenate([x for v in streams.values() for x in v]))) + 1
+        alphabet = alphabet or alphabet_size(texts)
         counts = [self._counts(streams[k]) for k in self.langs]
         self.grams: list[Sorted] = []  # by order - 1: log2 probability for each language
         self.back: list[Sorted] = []  # by length of the context: log2 weight of the lower order
@@ -257,15 +268,35 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
+class Shards(Model):
+    """Models of up to ``LANGUAGES`` languages each that score as one.
+
+    They share the alphabet, so a language has the same probabilities as in one model of
+    all: what a shard has not seen in any of its languages backs off to the same value.
+    """
+
+    def __init__(self, texts: dict[str, list[str]], size: int):
+        self.langs, alphabet = sorted(texts), alphabet_size(texts)
+        self.models = [Model({k: texts[k] for k in self.langs[i : i + size]}, alphabet=alphabet) for i in range(0, len(self.langs), size)]
+        self.cutoff, self.heat = np.inf, 1.0
+
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([m.entropies(texts) for m in self.models], axis=1)
+
+
 def sample(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Labelled training rows, about ``per_language`` for each language, by a hash of the id."""
     usable = documents.select("doc_id", "lang", "text").filter((fold() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    each = float(min(per_language, SAMPLE / max(len(counts), 1)))
-    rates = documents.sparkSession.createDataFrame([(r["lang"], each / r["count"]) for r in counts], "rate_lang string, rate double")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # at most LANGUAGES rows on the right
-    return usable.join(F.broadcast(rates), F.col("lang") == F.col("rate_lang")).filter(draw < F.col("rate")).select("doc_id", "lang", "text")
+    drawn = usable.withColumn("draw", draw)
+    first = F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("draw"))).alias("first")
+    counts = drawn.groupBy("lang").agg(F.count("*").alias("count"), first).collect()  # one row a language
+    each = float(min(per_language, max(SAMPLE / max(len(counts), 1), LEAST)))
+    rows = [(r["lang"], each / r["count"], r["first"]) for r in counts]
+    rates = documents.sparkSession.createDataFrame(rows, "rate_lang string, rate double, first double")
+    # one row a language on the right; the first row with a letter is chosen in any case
+    joined = drawn.join(F.broadcast(rates), F.col("lang") == F.col("rate_lang"))
+    return joined.filter((F.col("draw") < F.col("rate")) | (F.col("draw") <= F.col("first"))).select("doc_id", "lang", "text")
 
 
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -280,7 +311,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
             apart.append((text, lang))
         else:
             texts.setdefault(lang, []).append(text)
-    model = Model(texts)
+    model = Model(texts) if len(texts) <= LANGUAGES else Shards(texts, LANGUAGES)
     model.calibrate([t for t, _ in apart], [x for _, x in apart])
     return model
 
