@@ -65,3 +65,34 @@ def test_defined_cases(spark):
 def test_plan_is_native(spark, sf_small):
     plan = op.query(spark, sf_small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_stage_finds_short_texts_and_short_items(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(rng.choice([8, 20, 40])))) for i in range(15)] + [(50, "Tiny Item!"), (51, "one"), (52, None), (53, "four short words here")]
+    docs = [(0, None), (1, ""), (2, "a tiny item, twice: tiny item"), (3, "item tiny"), (4, "none of it"), (5, "ONE"), (None, "so few: four short words here"), (6, "four short words")]
+    for d in range(60):
+        w = rng.choice(items[:15])[1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            del w[rng.randrange(len(w))]
+        docs.append((100 + d, " ".join(w if d % 2 else w[: round(len(w) * rng.choice([0.7, 0.85, 0.95]))])))
+    docs.append((200, items[1][1].rsplit(" ", 1)[0]))
+    a = spark.createDataFrame([*docs, docs[-1]], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+
+    expected = {}
+    for d, text in docs:
+        g, w = grams(text), [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+        for i, item in items:
+            h, v = grams(item), [x for x in re.split(r"[\W_]+", (item or "").lower()) if x]
+            s = sum((Counter(g) & Counter(h)).values()) / len(h) if h and len(g) < len(h) else 0
+            if v and not h and any(w[k : k + len(v)] == v for k in range(len(w))):
+                s = 1
+            if s >= 0.8:
+                expected[d, i] = round(s, 6)
+    assert len(expected) > 12 and {50, 51, 53} <= {i for _, i in expected}
+    assert {(r.doc_id, r.item_id): r.similarity for r in op.contaminated_short(a, b).collect()} == expected
+    b.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {r.doc_id for r in op.keep_clean(spark, a, str(tmp_path)).collect()}
+    assert left == {d for d, _ in docs} - {d for d, _ in expected} - {d for d, _ in slow(docs, items)}

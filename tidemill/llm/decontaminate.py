@@ -27,10 +27,13 @@ benchmark has at most ``BROADCAST`` shingles, a number that is counted first; on
 windows at shared shingles leave the map stage. Beyond that number documents and
 benchmark meet by a shuffle on the shingle's hash.
 
+The query is held to its SQL, which leaves out texts with fewer words than an item and
+items of fewer than five words. The pipeline's stage has them, too (``contaminated_short``).
+
 Defined cases
     * null and empty texts, and texts with fewer words than an item, have no window of
-      its size and don't match it
-    * an item with fewer than five words has no shingle and never matches
+      its size and don't match it in the query
+    * an item with fewer than five words has no shingle and never matches in the query
     * repeated benchmark rows with the same item_id are one item if their texts agree;
       else each text is looked for, and the best of them counts
     * repeated rows of documents count once (the best window over all of them)
@@ -160,13 +163,53 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     )
 
 
+def contaminated_short(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, similarity) of the pairs that have no window or no shingle in ``contaminated``.
+
+    A text with fewer shingles than an item is one window as a whole; similarity is over
+    the item's shingles still, and no fingerprint is asked. An item of fewer than five
+    words is one shingle of its own length, which a text has or not.
+    """
+    texts = shingled(benchmark, "item_id").dropDuplicates(["key", "shingles"])
+    items = settle(texts.select(F.col("key").alias("item_id"), F.xxhash64("key", "shingles").alias("item"), "shingles", F.size("shingles").alias("n")))
+    wanted = items.select("item", "n", F.explode("shingles").alias("h")).groupBy("h", "item", "n").agg(F.count("*").alias("weight"))
+    wanted = settle(wanted)
+    longest = items.agg(F.max("n")).first()[0] or 0
+    docs = shingled(documents.select("doc_id", "text"), "doc_id").filter(F.size("shingles") < longest).withColumn("doc", F.xxhash64("key", "shingles"))
+    # repeated rows are one text
+    here = docs.dropDuplicates(["key", "doc"]).select("key", "doc", F.size("shingles").alias("m"), F.explode("shingles").alias("h"))
+    here = here.groupBy("key", "doc", "m", "h").agg(F.count("*").alias("here"))
+    similar = (
+        here.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "h")
+        .filter("m < n")
+        .groupBy("key", "doc", "item", "n")
+        .agg((F.sum(F.least("here", "weight")) / F.col("n")).alias("similarity"))
+        .filter(F.col("similarity") >= threshold)
+    )
+    found = similar.join(items.select("item", "item_id"), "item").select(F.col("key").alias("doc_id"), "item_id", "similarity")
+
+    brief = benchmark.select("item_id", _words(F.col("text")).alias("w")).filter(F.size("w").between(1, SHINGLE - 1))
+    brief = settle(brief.select("item_id", F.size("w").alias("size"), F.concat_ws(" ", "w").alias("words")).distinct())
+    small = brief.count() <= BROADCAST
+    for size in sorted(r["size"] for r in brief.select("size").distinct().collect()):  # four at most
+        each = F.expr(f"w -> CASE WHEN size(w) >= {size} THEN array_distinct(transform(sequence(0, size(w) - {size}), i -> array_join(slice(w, i + 1, {size}), ' '))) END")
+        grams = F.element_at(F.call_function("transform", F.array(_words(F.col("text"))), each), 1)
+        of_size = brief.filter(F.col("size") == size).select("item_id", "words")
+        places = documents.select("doc_id", F.explode(grams).alias("words"))
+        met = places.join(F.broadcast(of_size) if small else of_size, "words")
+        found = found.unionByName(met.select("doc_id", "item_id", F.lit(1.0).alias("similarity")))
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "similarity")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that contain a benchmark item go."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
+    """Pipeline stage: documents that contain a benchmark item go, short texts and short items included."""
+    items = table(spark, sf_dir, "benchmark")
+    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id"))
+    bad = bad.union(contaminated_short(docs, items).select("doc_id")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
 
 
