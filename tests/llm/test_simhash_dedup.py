@@ -140,3 +140,17 @@ def test_prefixes_of_similar_sets_share_enough():
         if len(b) and shared >= 0.8 * (n + len(b) - shared):
             first = [np.sort(x)[: len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + 1] for x in (a, b)]
             assert len(np.intersect1d(*first)) >= op.least_shared(n + len(b), max(n, len(b)), 0.8) >= 1
+
+
+def test_different_texts_of_one_id_are_judged_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (2, f"{a} end"), (2, b), (2, b), (3, f"{b} end"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = [(None, a), (1, a), (2, b), (2, b)]
+    old = op.GROUP
+    try:
+        for op.GROUP in (old, 1):
+            got = op.keep_one(spark, df, "").collect()
+            assert sorted(((r.doc_id, r.text) for r in got), key=lambda r: r[0] or 0) == expected
+    finally:
+        op.GROUP = old

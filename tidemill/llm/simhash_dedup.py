@@ -414,7 +414,7 @@ def followers(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[
 def _followers(threshold: float):
     def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
         ids = held.column("doc_id").to_numpy()
-        order = np.argsort(ids)
+        order = np.lexsort((ids, held.column("rank").to_numpy()))
         lists = held.column("shingles").combine_chunks()
         bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         gone = followers(ids[order].tolist(), [flat[bounds[i] : bounds[i + 1]] for i in order.tolist()], threshold)
@@ -424,6 +424,11 @@ def _followers(threshold: float):
     return run
 
 
+def row_key() -> Column:
+    """Hash of doc_id and text: rows with the same id and text are one document."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def least_shared(total: int | Column, most: int | Column, threshold: float):
     """Prefix shingles that two sets of ``total`` shingles, ``most`` in the larger, share at least if they are similar.
 
@@ -544,32 +549,33 @@ def joined_groups(documents: DataFrame, grouped: DataFrame, threshold: float) ->
 
 
 def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -> DataFrame:
-    """Ids of documents that are similar to a document with a smaller id which itself stays.
+    """Keys (``row_key``) of documents that are similar to an earlier one which itself stays.
 
-    In order of doc_id a document goes if the Jaccard similarity of its five-word
+    In order of doc_id (different texts of one id by their keys) a document goes if the Jaccard similarity of its five-word
     shingles to one that stays is at least the threshold. Candidates are the SimHash
     groups at a wider radius, joined by an exact prefix-filter join where similar
     documents are in different ones, so no similar pair is left out. A group of up to
     ``GROUP`` documents is one task's; a larger one first loses the followers of its
     smallest document, by a join, again and again until it is small.
     """
-    documents = documents.filter("doc_id IS NOT NULL")
+    # from here on doc_id is the key, and rank the id
+    documents = documents.filter("doc_id IS NOT NULL").select(row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("rank"))
     grouped = staged(simhash_dedup(documents, radius).select("doc_id", "component_id").distinct())
     release(documents.sparkSession)
     grouped = joined_groups(documents, grouped, threshold)
     several = grouped.groupBy("component_id").count().filter("count > 1")
     members = grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), "component_id", "count")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id") == F.col("id"))
-    open_ = staged(texts.select("doc_id", "component_id", "count", shingle_set(F.col("text")).alias("shingles")).dropDuplicates(["doc_id"]))
+    texts = documents.select("doc_id", "text", "rank").join(members, F.col("doc_id") == F.col("id"))
+    open_ = staged(texts.select("doc_id", "rank", "component_id", "count", shingle_set(F.col("text")).alias("shingles")).dropDuplicates(["doc_id"]))
     del grouped, several, members, texts
     release(documents.sparkSession)
-    small, large = open_.filter(F.col("count") <= GROUP).select("doc_id", "component_id", "shingles"), open_.filter(F.col("count") > GROUP).drop("count")
+    small, large = open_.filter(F.col("count") <= GROUP).select("doc_id", "rank", "component_id", "shingles"), open_.filter(F.col("count") > GROUP).drop("count")
     gone = None
     while not large.isEmpty():
-        first = large.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "shingles"), "doc_id").alias("leader"))
+        first = large.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "shingles"), F.struct("rank", "doc_id")).alias("leader"))
         shared, total = F.size(F.array_intersect("shingles", "leader.shingles")), F.size("shingles") + F.size("leader.shingles")
         judged = large.join(first, "component_id").filter(F.col("doc_id") != F.col("leader.doc_id"))
-        judged = staged(judged.select("doc_id", "component_id", "shingles", ((total == 0) | (shared >= threshold * (total - shared))).alias("near")))
+        judged = staged(judged.select("doc_id", "rank", "component_id", "shingles", ((total == 0) | (shared >= threshold * (total - shared))).alias("near")))
         follow = judged.filter("near").select("doc_id")
         gone = follow if gone is None else gone.unionByName(follow)
         rest = judged.filter("NOT near").drop("near")
@@ -584,7 +590,8 @@ def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of near copies the document with the smallest doc_id stays.
 
-    Rows with the same doc_id stay or go together; a row without a doc_id stays.
+    Rows with the same doc_id and text stay or go together; different texts of one
+    doc_id are judged apart. A row without a doc_id stays.
     """
-    gone = near_copies(docs).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = near_copies(docs).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, F.col("doc_id").isNotNull() & (row_key() == F.col("gone")), "left_anti")
