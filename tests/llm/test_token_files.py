@@ -63,3 +63,10 @@ def test_defined_cases(spark, tmp_path):
     assert [r.doc_id for r in got] == [None, 1, 2, 3, 3, 5] and [r.n_tokens for r in got[:5]] == [2, 1, 1, 2, 2]
     assert got[5].n_tokens == 80_001
     assert op.token_files(df.limit(0), f"file://{tmp_path}/y", PATH).count() == 0
+
+
+def test_added_tokens_in_other_case_are_text():
+    encoder = op.Encoder(PATH)
+    texts = ["<|ENDOFTEXT|> x", "A <|EndOfText|>\nB", "É <|STARTOFTEXT|> <|endoftext|> Y"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == [*encoder.words.tokenizer.encode(text, add_special_tokens=False).ids, 1], text

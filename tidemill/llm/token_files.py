@@ -186,16 +186,20 @@ class Words(dict):
         return ids
 
 
-def plain(text: str) -> str:
-    """The text with what its normaliser would change anyway: line ends, and case where that is letter by letter."""
+def plain(text: str, added: tuple[str, ...] = ()) -> str:
+    """The text with what its normaliser would change anyway: line ends, and case where that is letter by letter.
+
+    ``added`` are the contents of the added tokens in lower case. They are matched before
+    the normaliser, so a text that has one in any case keeps its case.
+    """
     text = text.replace("\n", " ")
-    if text.isascii():
-        return text.lower()
-    try:
-        text.encode("latin-1")  # no combining marks, no letter whose lower case depends on its place
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+    if not text.isascii():
+        try:
+            text.encode("latin-1")  # no combining marks, no letter whose lower case depends on its place
+        except UnicodeEncodeError:
+            return text
+    low = text.lower()
+    return text if any(t in low for t in added) else low
 
 
 class Encoder:
@@ -208,11 +212,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.words = Words(path)
+        self.added = tuple(t.content.lower() for t in self.words.tokenizer.get_added_tokens_decoder().values())
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """u32 ids of each text, with the end id."""
         get, end = self.words.__getitem__, array("I", [END]).tobytes()
-        return [np.frombuffer(b"".join(map(get, plain(t or "").split(" "))) + end, np.uint32) for t in texts]
+        return [np.frombuffer(b"".join(map(get, plain(t or "", self.added).split(" "))) + end, np.uint32) for t in texts]
 
 
 def _encoder(path: str) -> Encoder:
