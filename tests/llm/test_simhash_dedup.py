@@ -43,7 +43,7 @@ def test_matches_brute_force(spark, sf_small):
     assert {i: c for i, (_, c) in got.items()} == slow_groups(expected)
 
 
-@pytest.mark.parametrize("radius, bucket", [(3, 16), (5, 1 << 16), (8, 64)])
+@pytest.mark.parametrize("radius, bucket", [(3, 16), (5, 1 << 16), (8, 64), (14, 1 << 16)])
 def test_links_of_dense_and_random_prints(spark, radius, bucket):
     rng = np.random.default_rng(5)
     prints = {int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 200)}
@@ -86,8 +86,14 @@ def test_defined_cases(spark):
     assert op.keep_one(spark, df.select("doc_id", "text").limit(0), "").count() == 0
 
 
-def slow_kept(texts, radius=8):
-    """Ids that stay: greedy by id within the groups of the wider radius."""
+def test_no_allocation_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2)], "fp long, id long")
+    with pytest.raises(ValueError, match="radius"):
+        op.links(df, 40)
+
+
+def slow_kept(texts, radius=64):
+    """Ids that stay: greedy by id over all pairs, or within the groups of a radius."""
     grams = {}
     for d, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
@@ -114,7 +120,7 @@ def test_one_of_near_copies_stays(spark, sf_small):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     expected = slow_kept(texts)
     assert {r.doc_id for r in op.keep_one(spark, df, "").collect()} == expected
-    old, op.GROUP = op.GROUP, 4  # groups go through the rounds
+    old, op.GROUP = op.GROUP, 4  # groups are dealt out and begin again
     try:
         assert {r.doc_id for r in op.keep_one(spark, df, "").collect()} == expected
     finally:
@@ -124,8 +130,8 @@ def test_one_of_near_copies_stays(spark, sf_small):
 def test_near_copies_in_different_groups_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    expected = slow_kept(texts, radius=64)  # over all pairs
-    assert expected < slow_kept(texts)
+    expected = slow_kept(texts)
+    assert expected < slow_kept(texts, radius=8)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in op.keep_one(spark, df, "").collect()} == expected
 
@@ -154,3 +160,30 @@ def test_different_texts_of_one_id_are_judged_apart(spark):
             assert sorted(((r.doc_id, r.text) for r in got), key=lambda r: r[0] or 0) == expected
     finally:
         op.GROUP = old
+
+
+def test_shingles_match_a_plain_count():
+    rng = np.random.default_rng(6)
+    word = lambda: rng.choice(["a", "b", "cc", "É", "straße", "x" * 70])
+    texts = [" \t".join(word() for _ in range(n)) for n in (0, 1, 2, 4, 5, 6, 40, 300)] + [None, "", " \n ", "A b", "a  B", "ab"]
+    old = op.CHUNK
+    try:
+        for op.CHUNK in (old, 16):
+            flat, many = op.Shingler().sets(texts)
+            names = {}
+            for text, h in zip(texts, np.split(flat, np.cumsum(many)[:-1])):
+                w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+                grams = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+                assert len(grams) == len(h) and (h[1:] > h[:-1]).all()
+                for g in grams:
+                    names.setdefault(g, set(h.tolist())).intersection_update(h.tolist())
+            assert all(names[g] for g in names)
+    finally:
+        op.CHUNK = old
+
+
+def test_stage_keeps_odd_columns(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a, "x"), (2, a + " end", "y"), (3, "other", "z"), (None, a, "n")], "doc_id long, text string, gone string").withColumn("gone_id", F.lit(1)).withColumn("rank", F.lit(2))
+    out = op.keep_one(spark, df, "")
+    assert out.columns == df.columns and {r.gone for r in out.collect()} == {"x", "z", "n"}

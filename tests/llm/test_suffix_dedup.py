@@ -49,14 +49,19 @@ def test_random_documents(spark):
     docs += [(7000, "abc" * 100), (7001, "abc" * 90), (7002, "a" * 49), (7003, "a" * 50), (7004, "a" * 51), (7005, "a" * 49)]
     rng.shuffle(docs)
     check(spark, docs)
-    old = op.HOT, op.BLOCK, op.ROUND
+    old = op.HOT, op.BLOCK, op.ROUND, op.COMMON
     try:
+        op.COMMON = 10**9  # none is common beforehand
+        check(spark, docs)
         op.HOT, op.ROUND = 3, 2000  # finer keys for nearly all
         check(spark, docs)
-        op.HOT, op.BLOCK = 10**9, 2  # strings one by one
+        op.COMMON, op.REMEMBERED = 2, 5
+        check(spark, docs)
+        op.HOT, op.BLOCK = 10**9, 2  # large blocks are cut
         check(spark, docs)
     finally:
-        op.HOT, op.BLOCK, op.ROUND = old
+        op.HOT, op.BLOCK, op.ROUND, op.COMMON = old
+        op.REMEMBERED = 1 << 16
 
 
 def test_small_table(spark, sf_small):
@@ -77,3 +82,39 @@ def test_defined_cases(spark):
     # strings over the seam of two copies are new in document 6
     assert big[1] == len(text) * 2000 and big[2] == len(text) * 2000
     assert op.suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_texts_whose_hashes_clash(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = [text(200) for _ in range(12)]
+    docs = [(i, base[i % 12] if i % 3 else base[i % 12][:100] + text(100)) for i in range(60)] + [(100, "short"), (101, "other"), (102, "short")]
+    monkeypatch.setattr(op, "text_hash", lambda t: F.length(t).cast("long"))  # all texts of a length
+    check(spark, docs)
+
+
+def test_many_segments_of_one_anchor(spark):
+    rng = random.Random(9)
+    gram = "-" * 40
+    parts = ["".join(rng.choice("abcd") for _ in range(12)) for _ in range(700)]
+    docs = [(1, gram.join(parts)), (2, gram.join(rng.sample(parts, 600)))]
+    old = op.COMMON
+    try:
+        for op.COMMON in (2, 10**9):
+            check(spark, docs)
+    finally:
+        op.COMMON = old
+
+
+def test_stage_with_odd_rows_and_columns(spark):
+    text = "a passage that is rather longer than fifty bytes, as must be said here; "
+    rows = [(1, None, "a"), (2, "", "b"), (3, "short", "c"), (3, "short", "c"), (4, "short", "d"), (5, text + "own words", "e"), (5, text + "own words", "e"), (6, text, "f"), (7, "é" * 40 + text, "g"), (None, "é" * 40 + text, "h"), (8, "new " * 30_000, "i")]
+    names = ["doc_id", "text", "size", "least", "own", "runs", "k", "th", "_k", "n_chars"]
+    df = spark.createDataFrame([(d, t, x, x, x, x, x, x, x, 0) for d, t, x in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[2:-1]) + ", n_chars long")
+    out = op.remove_repeats(spark, df, "")
+    assert out.columns == names and out.schema == df.schema
+    got = sorted((str(r.doc_id), r.text, r.size, r.n_chars) for r in out.collect())
+    kept = "é" * 40
+    assert [g for g in got if g[0] == "7"] == [("7", kept, "g", 40)] and {g[2] for g in got} == set("abcdegi")
+    assert [g[2] for g in got if g[0] == "5"] == ["e", "e"] and all(g[3] == len(g[1] or "") or g[1] is None for g in got)
+    assert op.remove_repeats(spark, df.limit(0), "").count() == 0

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import sys
 import tempfile
-import time
 import types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -35,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named (tests)."""
+    """The cluster's shared folder; a folder of our own only in local mode where none is named (tests)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -43,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -53,33 +54,41 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: For jobs whose result is written: their shuffle files go when the job has ended, and
+#: Python gets whole texts in small batches.
+_JOB = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextmanager
+def job_settings(spark: SparkSession) -> Iterator[None]:
+    """The session's settings with those of ``_JOB``, put back at the end."""
+    before = {k: spark.conf.get(k, None) for k in _JOB}
+    for k, v in _JOB.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back, for results used more than once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    with job_settings(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
 
-    Spark does so when the driver collects garbage, which on a large heap can take until
-    the disks of the executors are full. Called after a step whose result is staged.
-    """
-    for _ in range(2):  # what Python lets go of reaches the driver's JVM a little later
-        gc.collect()
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/stage-" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fold(column: str | Column = "doc_id") -> Column:
@@ -117,3 +126,14 @@ def tidy(run):
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, over the tasks that reuse it."""
     return sys.modules.setdefault("_tidemill_worker_cache", types.ModuleType("_tidemill_worker_cache")).__dict__
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, changed where the table has a column of the same name."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

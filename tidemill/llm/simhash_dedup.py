@@ -26,21 +26,28 @@ Defined cases
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, release, settle, staged, table, tidy, trim, utf8
+from tidemill.llm.common import ASCII_LOWER, WORD_BYTES, discard, fresh, settle, staged, table, tidy, trim, utf8
 from tidemill.llm.components import components, forest
 
 NAME = "op1_simhash_dedup"
 SQL = None
-#: Fingerprints a bucket may hold before it is dealt out by a finer key, and documents a group before it goes by joins.
-BUCKET, GROUP = 1 << 16, 4096
+#: Fingerprints a bucket may hold before it is dealt out by a finer key.
+BUCKET = 1 << 16
+#: Documents of a group that are judged one after the other in a task; Spark keeps so many a map task before it deals them (its limit is 1000).
+GROUP = 1000
+#: Bytes of text of which shingles are made at once.
+CHUNK = 1 << 20
 #: Cost of one shuffled row against one verified pair, for the choice of parts.
 ROW_COST = 1000.0
 #: Pairs that are compared at once.
@@ -49,6 +56,8 @@ PAIRS = 1 << 21
 COMMON_DOCS, COMMON = 1 << 14, 1 << 17
 #: Parts that are considered.
 PARTS = (2, 3, 4, 5, 6, 7)
+#: Largest threshold of a part; with at most seven parts radii up to 20 have an allocation, beyond that ``plan`` raises.
+LIMIT = 2
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -118,19 +127,19 @@ def correlated_parts(joint: np.ndarray, n: int, parts: int) -> list[int]:
 
 
 def allot(pairs: list[float], widths: list[int], n: int, radius: int) -> tuple[float, list[int]]:
-    """Cheapest thresholds (-1 skips a part, at most 1) with the sum the principle asks for.
+    """Cheapest thresholds (-1 skips a part, at most ``LIMIT``) with the sum the principle asks for.
 
     ``pairs[i]`` is the number of pairs of equal values in part i; by Cauchy-Schwarz
-    no single flipped bit yields more, which bounds the candidates of threshold one.
+    no flipped bits yield more, which bounds the candidates of a probe.
     """
     target = radius - len(pairs) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for same, width in zip(pairs, widths):
         nxt: dict[int, tuple[float, list[int]]] = {}
         for total, (cost, chosen) in best.items():
-            for limit in (-1, 0, 1):
-                # a set bit is flipped on one side of a pair only
-                probes = 0 if limit < 0 else 1 + width * limit / 2
+            for limit in range(-1, LIMIT + 1):
+                # one bit: a set bit is cleared on one side of a pair only; more: any bits are flipped
+                probes = 0 if limit < 0 else 1 + width / 2 if limit == 1 else sum(math.comb(width, i) for i in range(limit + 1))
                 new = cost + probes * (same + ROW_COST * n)
                 if total + limit not in nxt or new < nxt[total + limit][0]:
                     nxt[total + limit] = (new, [*chosen, limit])
@@ -180,7 +189,9 @@ def plan(prints: DataFrame, radius: int) -> tuple[list[int], list[int]]:
     for m, masks in layouts.items():
         cost, limits = allot([found.get((m, i), 0.0) for i in range(m)], [x.bit_count() for x in masks], n, radius)
         choices.append((cost, m, limits))
-    _, m, limits = min(choices)
+    cost, m, limits = min(choices)
+    if cost == float("inf"):
+        raise ValueError(f"no allocation of thresholds up to {LIMIT} to {max(PARTS)} parts reaches a radius of {radius}")
     return layouts[m], limits
 
 
@@ -192,7 +203,8 @@ def probe_keys(masks: list[int], limits: list[int]) -> Column:
 
     Its own value in each part, and under a threshold of one the values with one of its
     set bits cleared: of two fingerprints that differ in one bit of a part, the one that
-    has the bit meets the other in the other's bucket.
+    has the bit meets the other in the other's bucket. Under a higher threshold all values
+    within it are probed.
     """
     fp, keys = F.col("fp"), []
     for mask, limit in zip(masks, limits):
@@ -201,11 +213,14 @@ def probe_keys(masks: list[int], limits: list[int]) -> Column:
         value = fp.bitwiseAND(F.lit(_signed(mask)))
         key = lambda v, mask=mask: F.struct(F.lit(_signed(mask)).alias("mask"), v.alias("value"))
         keys.append(key(value))
+        bits = [b for b in range(64) if mask >> b & 1]
         if limit == 1:
-            for b in range(64):
-                if mask >> b & 1:
-                    bit = F.lit(_signed(1 << b))
-                    keys.append(F.when(fp.bitwiseAND(bit) != 0, key(value.bitwiseXOR(bit))))
+            for b in bits:
+                bit = F.lit(_signed(1 << b))
+                keys.append(F.when(fp.bitwiseAND(bit) != 0, key(value.bitwiseXOR(bit))))
+        if limit > 1:  # own fingerprints stand in a bucket with their own value, probing ones with one up to ``limit`` bits away
+            for n in range(1, limit + 1):
+                keys += [key(value.bitwiseXOR(F.lit(_signed(sum(1 << b for b in some))))) for some in itertools.combinations(bits, n)]
     return F.array_compact(F.array(*keys))
 
 
@@ -256,13 +271,17 @@ def _sub_masks(mask: int, parts: int) -> list[int]:
 SCHEMA = "mask long, value long, fp long, id long, link boolean"
 
 
-def _buckets(radius: int, last: bool):
+def _buckets(radius: int):
     """Verify the buckets of sorted rows (mask, value, fp, id).
 
     A row with ``link`` is a link (fp = one id, id = the other); the others belong to
-    buckets too large for a task and carry a finer key.
+    buckets too large for a task and carry a finer key. A bucket with no more than
+    ``radius`` bits open has few fingerprints and is verified whole.
     """
 
+    def large(mask: int, n: int) -> bool:
+        return n > BUCKET and 64 - (mask % (1 << 64)).bit_count() > radius
+
     def out(rows: list[tuple[np.ndarray, ...]], link: bool) -> pa.RecordBatch:
         cols = [pa.array(np.concatenate(c) if len(c) else np.zeros(0, np.int64), pa.int64()) for c in zip(*rows)]
         return pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(cols[0]), link))], ["mask", "value", "fp", "id", "link"])
@@ -287,7 +306,7 @@ def _buckets(radius: int, last: bool):
             yield from groups(whole, cut[:-1] if len(cut) else cut, hot)
             if len(cut):
                 hot = None
-            if len(rest) > BUCKET and not last or hot is not None:
+            if hot is not None or len(rest) and large(int(rest[0, 0]), len(rest)):
                 key = (int(rest[0, 0]), int(rest[0, 1]))
                 yield out(finer(*key, rest[:, 2], rest[:, 3]), False)
                 hot, rest = key, rest[:0]
@@ -306,7 +325,7 @@ def _buckets(radius: int, last: bool):
         for i in np.flatnonzero(np.diff(bounds) > 1).tolist() if hot is None else range(len(bounds) - 1):
             s, e = int(bounds[i]), int(bounds[i + 1])
             key = (int(rows[s, 0]), int(rows[s, 1]))
-            if key == hot or e - s > BUCKET and not last:
+            if key == hot or large(key[0], e - s):
                 yield out(finer(*key, rows[s:e, 2], rows[s:e, 3]), False)
                 continue
             mine, f, n = own[s:e], fps[s:e], ids[s:e]
@@ -332,23 +351,28 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """
     masks, limits = plan(prints, radius)
     rows = prints.select(F.explode(probe_keys(masks, limits)).alias("k"), "fp", "id").select("k.mask", "k.value", "fp", "id")
-    found = None
-    for level in range(3):
+    tables = []
+    # every level fixes more bits of what large buckets hold, so there are few levels
+    while not tables or not rows.isEmpty():
         dealt = rows.repartition("mask", "value").sortWithinPartitions("mask", "value")
-        done = staged(dealt.mapInArrow(tidy(_buckets(radius, last=level == 2)), SCHEMA))
-        part = done.filter("link").select(F.col("fp").alias("a"), F.col("id").alias("b"))
-        found = part if found is None else found.unionByName(part)
+        done = staged(dealt.mapInArrow(tidy(_buckets(radius)), SCHEMA))
+        tables.append(done)
         rows = done.filter("not link").select("mask", "value", "fp", "id")
-        if level == 2 or rows.isEmpty():
-            return found
-    return found
+    found = [t.filter("link").select(F.col("fp").alias("a"), F.col("id").alias("b")) for t in tables]
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    whole._tables = tables
+    return whole
 
 
 def simhash_dedup(documents: DataFrame, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): near-duplicate groups of all documents."""
     prints = settle(fingerprints(documents))
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    groups = components(links(distinct.filter("id IS NOT NULL"), radius))
+    found = links(distinct.filter("id IS NOT NULL"), radius)
+    groups = components(found)
+    discard(*found._tables)
     named = distinct.join(groups, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     # one row a fingerprint on the right: a fingerprint that a third of the documents share is split by the skew join
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
@@ -362,62 +386,183 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- one document of each group -------------------------------------------------
 
 
-def shingle_set(text: Column, size: int = 5) -> Column:
-    """Different hashes of the word shingles of a text; fewer words make one shingle, none make none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    parts = ", ".join(f"w[i + {k}]" for k in range(size))
-    each = F.expr(
-        f"w -> CASE WHEN size(w) >= {size} THEN transform(sequence(0, size(w) - {size}), i -> xxhash64({parts})) "
-        "WHEN size(w) > 0 THEN array(xxhash64(w)) ELSE array() END"
-    )
-    return F.array_distinct(F.element_at(F.call_function("transform", F.array(words), each), 1))
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+class Shingler:
+    """Different hashes of the word shingles of texts in lower case, by prefix sums of a polynomial over their bytes."""
+
+    def __init__(self, size: int = 5):
+        self.size = size
+        self.random = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.up):
+            n = 1 << n.bit_length()
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, m, np.uint64)]), dtype=np.uint64) for m in (_MULT, np.uint64(pow(int(_MULT), -1, 1 << 64))))
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of each word; cut at white space, so a long text needs no long arrays."""
+        starts, hashes, at = [], [], 0
+        while at < len(data):
+            end = at + CHUNK
+            raw = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+            blank = _BLANK[raw]
+            if end < len(data) and not blank[-1]:
+                last = np.flatnonzero(blank)
+                if len(last):
+                    raw, blank = raw[: last[-1] + 1], blank[: last[-1] + 1]
+                else:  # one word longer than a chunk
+                    rest = np.frombuffer(data, np.uint8, len(data) - at, at)
+                    stop = np.flatnonzero(_BLANK[rest])
+                    raw = rest[: stop[0]] if len(stop) else rest
+                    blank = np.zeros(len(raw), bool)
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+            first, stop = edge[::2], edge[1::2]
+            self._powers(len(raw))
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(self.random[raw] * self.up[: len(raw)], out=sums[1:])
+            starts.append(first + at)
+            hashes.append(_mixed((sums[stop] - sums[first]) * self.down[first]))
+            at += len(raw)
+        return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all texts, ascending in each, and how many each has; fewer words than a shingle make one, none make none."""
+        data = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+        begin = np.cumsum([0, *(len(d) + 1 for d in data)])
+        first, word = self.words(b"\n".join(data))
+        doc = np.searchsorted(begin, first, side="right") - 1
+        many = np.bincount(doc, minlength=len(texts))
+        h, of = np.zeros(max(len(word) - self.size + 1, 0), np.uint64), doc[: max(len(word) - self.size + 1, 0)]
+        for i in range(self.size):
+            h = _mixed(h * _MULT + word[i : i + len(h)])
+        whole = of == doc[self.size - 1 :] if len(h) else np.zeros(0, bool)
+        h, of = h[whole], of[whole]
+        begin = np.cumsum(many) - many
+        few = np.flatnonzero((many > 0) & (many < self.size))
+        if len(few):
+            short = np.zeros(len(few), np.uint64)
+            for i in range(self.size - 1):
+                more = many[few] > i
+                short[more] = _mixed(short[more] * _MULT + word[begin[few[more]] + i])
+            h, of = np.concatenate([h, short]), np.concatenate([of, few])
+        h = h.view(np.int64)
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        return h[keep], np.bincount(of[keep], minlength=len(texts))
+
+
+def _by_size(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about ``CHUNK`` bytes of text."""
+    for batch in batches:
+        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, done + CHUNK)))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def shingled(documents: DataFrame) -> DataFrame:
+    """(doc_id, rank, shingles): the different shingle hashes of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for part in _by_size(batches, 2):
+            h, many = shingler.sets(part.column(2).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(h))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "rank", "shingles"])
+
+    return documents.select("doc_id", "rank", "text").mapInArrow(tidy(run), "doc_id long, rank long, shingles array<long>")
 
 
-def followers(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[int]:
-    """Ids, in ascending order, whose set is similar to that of a smaller id which stays.
+class Similar:
+    """Sets that are kept, and whether another is similar to one of them.
 
-    Prefix filter: ordered by how many sets have them, similar sets share one of their
-    rarest elements, so only those that stay with such an element are compared.
+    Prefix filter: ordered by how many of all sets have them, similar sets share one of
+    their rarest elements, so only those kept with such an element are compared.
     """
-    values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64), None)
-    stays: list[np.ndarray] = []
-    index: dict[int, list[int]] = {}
-    gone, empty = [], False
-    for doc, own in zip(ids, sets):
+
+    def __init__(self, sets: list[np.ndarray], threshold: float):
+        self.threshold = threshold
+        self.values, self.counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.kept: list[np.ndarray] = []
+        self.index: dict[int, list[int]] = {}
+        self.empty = False
+
+    def rare(self, own: np.ndarray) -> list[int]:
+        at = np.searchsorted(self.values, own)
+        return own[np.lexsort((own, self.counts[at]))][: len(own) - int(np.ceil(self.threshold * len(own) - 1e-9)) + 1].tolist()
+
+    def has(self, own: np.ndarray, rare: list[int]) -> bool:
         if not len(own):  # texts without words are the same
-            if empty:
-                gone.append(doc)
-            empty = True
-            continue
-        own = np.sort(own)
-        at = np.searchsorted(values, own)
-        rare = own[np.lexsort((own, counts[at]))][: len(own) - int(np.ceil(threshold * len(own))) + 1].tolist()
-        near = False
-        for k in {k for h in rare for k in index.get(h, ())}:
-            other = stays[k]
-            if min(len(own), len(other)) >= threshold * max(len(own), len(other)):
+            return self.empty
+        for k in {k for h in rare for k in self.index.get(h, ())}:
+            other = self.kept[k]
+            if min(len(own), len(other)) >= self.threshold * max(len(own), len(other)):
                 small, large = (own, other) if len(own) <= len(other) else (other, own)
                 place = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 shared = int((large[place] == small).sum())
-                near = shared >= threshold * (len(own) + len(other) - shared)
-                if near:
-                    break
-        if near:
-            gone.append(doc)
-        else:
-            for h in rare:
-                index.setdefault(h, []).append(len(stays))
-            stays.append(own)
-    return gone
+                if shared >= self.threshold * (len(own) + len(other) - shared):
+                    return True
+        return False
+
+    def keep(self, own: np.ndarray, rare: list[int]) -> None:
+        if not len(own):
+            self.empty = True
+        for h in rare:
+            self.index.setdefault(h, []).append(len(self.kept))
+        self.kept.append(own)
+
+
+def _columns(held: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+    """Ids and sets of a table (doc_id, rank, shingles), in order of rank and id."""
+    ids = held.column("doc_id").to_numpy()
+    order = np.lexsort((ids, held.column("rank").to_numpy()))
+    lists = held.column("shingles").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return ids[order].tolist(), [flat[bounds[i] : bounds[i + 1]] for i in order.tolist()]
+
+
+def _judged(threshold: float):
+    """Which documents of a group stay: those not similar to an earlier one that stays."""
+
+    def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        ids, sets = _columns(held)
+        known, stays = Similar(sets, threshold), []
+        for own in sets:
+            rare = known.rare(own)
+            stays.append(not known.has(own, rare))
+            if stays[-1]:
+                known.keep(own, rare)
+        trim()
+        return pa.table([pa.array(ids, pa.int64()), pa.array(stays, pa.bool_())], names=["doc_id", "stays"])
+
+    return run
 
 
 def _followers(threshold: float):
+    """Documents that are similar to one with ``leads``."""
+
     def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
-        ids = held.column("doc_id").to_numpy()
-        order = np.lexsort((ids, held.column("rank").to_numpy()))
-        lists = held.column("shingles").combine_chunks()
-        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        gone = followers(ids[order].tolist(), [flat[bounds[i] : bounds[i + 1]] for i in order.tolist()], threshold)
+        leads = held.column("leads")
+        (_, first), (ids, sets) = _columns(held.filter(leads)), _columns(held.filter(pa.compute.invert(leads)))
+        known = Similar([*first, *sets], threshold)
+        for own in first:
+            known.keep(own, known.rare(own))
+        gone = [d for d, own in zip(ids, sets) if known.has(own, known.rare(own))]
         trim()
         return pa.table([pa.array(gone, pa.int64())], names=["doc_id"])
 
@@ -438,41 +583,42 @@ def least_shared(total: int | Column, most: int | Column, threshold: float):
     return ceil(total * (threshold / (1 + threshold)) - 1e-9) - ceil(most * threshold - 1e-9) + 1
 
 
-def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, n, same, prefix) of (doc_id, shingles): size, a hash of the set, and its rarest shingles.
+def prefixes(documents: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_id, n, same, too, prefix) of (doc_id, rank, text): size and two hashes of the set of shingles, and its rarest.
 
     The order of shingles is the same for all sets: those that no bounded sample shows as
     common by their hash, then the others by how many texts of the sample have them.
     Similar sets share a shingle of their prefixes whatever the order is.
     """
-    spread = F.lit(max(1, sets.count() // COMMON_DOCS))
-    known = sets.filter(F.pmod(F.xxhash64("doc_id"), spread) == 0).select(F.explode("shingles").alias("h")).groupBy("h").count()
+    drawn = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // COMMON_DOCS))) == 0)
+    known = shingled(drawn).select(F.explode("shingles").alias("h")).groupBy("h").count()
     known = known.filter("count >= 3").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     hashes, counts = known.column(0).to_numpy(), known.column(1).to_numpy()
     order = np.argsort(hashes)
-    shared = sets.sparkSession.sparkContext.broadcast((hashes[order], counts[order]))  # at most COMMON shingles
+    shared = documents.sparkSession.sparkContext.broadcast((hashes[order], counts[order]))  # at most COMMON shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sizes = part.column(1).value_lengths().to_numpy().astype(np.int64)
-                flat = part.column(1).flatten().to_numpy()
-                count = np.zeros(len(flat), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-                    count = np.where(common[at] == flat, often[at], 0)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                flat = flat[np.lexsort((flat, count, row))]
-                keep = np.where(sizes > 0, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, 0)
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[place < keep[row]]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), part.column(2), prefix], ["doc_id", "n", "same", "prefix"])
-
-    rows = sets.select("doc_id", "shingles", F.xxhash64(F.sort_array("shingles")).alias("same"))
-    return rows.mapInArrow(tidy(run), "doc_id long, n long, same long, prefix array<long>")
+        shingler = Shingler()
+        for part in _by_size(batches, 1):
+            flat, sizes = shingler.sets(part.column(1).to_pylist())
+            count = np.zeros(len(flat), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                count = np.where(common[at] == flat, often[at], 0)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            sums = [np.zeros(len(sizes), np.uint64) for _ in range(2)]
+            for out, salt in zip(sums, (1, 2)):
+                np.add.at(out, row, _mixed((flat.view(np.uint64) + np.uint64(salt)) * _MULT))
+            flat = flat[np.lexsort((flat, count, row))]
+            keep = np.where(sizes > 0, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, 0)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[place < keep[row]]))
+            values = [part.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums), prefix]
+            yield pa.RecordBatch.from_arrays(values, ["doc_id", "n", "same", "too", "prefix"])
+
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, same long, too long, prefix array<long>")
 
 
 def _meet(threshold: float):
@@ -527,16 +673,16 @@ def joined_groups(documents: DataFrame, grouped: DataFrame, threshold: float) ->
     that share enough of them are all compared by their whole sets. Texts with the same
     set are looked for once.
     """
-    sets = documents.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_set(F.col("text")).alias("shingles"))
-    marks = staged(prefixes(sets, threshold).dropDuplicates(["doc_id"]))
-    firsts = marks.groupBy("same").agg(F.min("doc_id").alias("first"))
-    groups = staged(marks.select("doc_id", "same").join(firsts, "same").join(grouped, "doc_id").select("doc_id", "first", "component_id"))
+    marks = staged(prefixes(documents, grouped.count(), threshold).dropDuplicates(["doc_id"]))
+    set_ = ["same", "too", "n"]
+    firsts = marks.groupBy(*set_).agg(F.min("doc_id").alias("first"))
+    groups = staged(marks.select("doc_id", *set_).join(firsts, set_).join(grouped, "doc_id").select("doc_id", "first", "component_id"))
     rows = marks.join(groups.filter("doc_id = first").select("doc_id", "component_id"), "doc_id").select(F.explode("prefix").alias("h"), "doc_id", "component_id", "n")
     met = rows.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_meet(threshold)), "a long, b long, total long, most long")
     shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("total").alias("total"), F.first("most").alias("most"))
     pairs = staged(shared.filter(F.col("shared") >= least_shared(F.col("total"), F.col("most"), threshold)).select("a", "b"))
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    asked = staged(sets.join(asked, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    asked = staged(shingled(documents.join(asked, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])))
     side = lambda name: asked.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
     common, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
     similar = pairs.join(side("a"), "a").join(side("b"), "b").filter(common >= threshold * (total - common)).select("a", "b")
@@ -545,7 +691,9 @@ def joined_groups(documents: DataFrame, grouped: DataFrame, threshold: float) ->
     links = similar.join(of("a"), "a").join(of("b"), "b").filter("a_group != b_group").select(F.col("a_group").alias("a"), F.col("b_group").alias("b")).distinct()
     joined = components(links)
     found = groups.join(joined, F.col("component_id") == F.col("node"), "left")
-    return staged(found.select("doc_id", F.coalesce("component", "component_id").alias("component_id")))
+    found = staged(found.select("doc_id", F.coalesce("component", "component_id").alias("component_id")))
+    discard(marks, groups, pairs, asked)
+    return found
 
 
 def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -> DataFrame:
@@ -554,44 +702,57 @@ def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -
     In order of doc_id (different texts of one id by their keys) a document goes if the Jaccard similarity of its five-word
     shingles to one that stays is at least the threshold. Candidates are the SimHash
     groups at a wider radius, joined by an exact prefix-filter join where similar
-    documents are in different ones, so no similar pair is left out. A group of up to
-    ``GROUP`` documents is one task's; a larger one first loses the followers of its
-    smallest document, by a join, again and again until it is small.
+    documents are in different ones, so no similar pair is left out. The first ``GROUP``
+    documents of every group are judged one after the other in a task. What is left of
+    larger groups is dealt out, held against those of the first that stay, and what
+    then remains begins again; so no task ever has more than a few thousand documents of
+    a group.
     """
     # from here on doc_id is the key, and rank the id
     documents = documents.filter("doc_id IS NOT NULL").select(row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("rank"))
-    grouped = staged(simhash_dedup(documents, radius).select("doc_id", "component_id").distinct())
-    release(documents.sparkSession)
-    grouped = joined_groups(documents, grouped, threshold)
+    near = staged(simhash_dedup(documents, radius).select("doc_id", "component_id").distinct())
+    grouped = joined_groups(documents, near, threshold)
     several = grouped.groupBy("component_id").count().filter("count > 1")
-    members = grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), "component_id", "count")
-    texts = documents.select("doc_id", "text", "rank").join(members, F.col("doc_id") == F.col("id"))
-    open_ = staged(texts.select("doc_id", "rank", "component_id", "count", shingle_set(F.col("text")).alias("shingles")).dropDuplicates(["doc_id"]))
-    del grouped, several, members, texts
-    release(documents.sparkSession)
-    small, large = open_.filter(F.col("count") <= GROUP).select("doc_id", "rank", "component_id", "shingles"), open_.filter(F.col("count") > GROUP).drop("count")
-    gone = None
-    while not large.isEmpty():
-        first = large.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "shingles"), F.struct("rank", "doc_id")).alias("leader"))
-        shared, total = F.size(F.array_intersect("shingles", "leader.shingles")), F.size("shingles") + F.size("leader.shingles")
-        judged = large.join(first, "component_id").filter(F.col("doc_id") != F.col("leader.doc_id"))
-        judged = staged(judged.select("doc_id", "rank", "component_id", "shingles", ((total == 0) | (shared >= threshold * (total - shared))).alias("near")))
-        follow = judged.filter("near").select("doc_id")
-        gone = follow if gone is None else gone.unionByName(follow)
-        rest = judged.filter("NOT near").drop("near")
-        sizes = rest.groupBy("component_id").count().select(F.col("component_id").alias("c"), F.col("count").alias("left"))
-        rest = rest.join(sizes, F.col("component_id") == F.col("c")).drop("c")
-        small = small.unionByName(rest.filter(F.col("left") <= GROUP).drop("left"))
-        large = rest.filter(F.col("left") > GROUP).drop("left")
-    found = small.groupBy("component_id").applyInArrow(_followers(threshold), "doc_id long")
-    return found if gone is None else found.unionByName(gone)
+    members = grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
+    rows = documents.join(members, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    left = staged(shingled(rows).join(members, F.col("doc_id") == F.col("id")).select("doc_id", "rank", "group", "shingles"))
+    discard(near, grouped)
+    gone = []
+    while True:
+        order = Window.partitionBy("group").orderBy("rank", "doc_id")
+        first = left.select("doc_id", "rank", "group").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= GROUP)
+        chosen = left.join(first.select(F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id"), "left_semi")
+        judged = staged(chosen.groupBy("group").applyInArrow(_judged(threshold), "doc_id long, stays boolean"))
+        gone.append(judged.filter("NOT stays").select("doc_id"))
+        mark = judged.select(F.col("doc_id").alias("id"), "stays")
+        rest = left.join(mark, F.col("doc_id") == F.col("id"), "left_anti")
+        sizes = staged(rest.groupBy("group").agg(F.ceil(F.count("*") / (4 * GROUP)).cast("int").alias("parts")))
+        if sizes.isEmpty():
+            break
+        # what stays goes to every part of what is left of its group
+        leaders = left.join(mark.filter("stays"), F.col("doc_id") == F.col("id"), "left_semi").join(sizes, "group")
+        leaders = leaders.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "rank", "shingles", F.lit(True).alias("leads"))
+        dealt = rest.join(sizes, "group").select("group", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "rank", "shingles", F.lit(False).alias("leads"))
+        follow = staged(leaders.unionByName(dealt).groupBy("group", "part").applyInArrow(_followers(threshold), "doc_id long"))
+        gone.append(follow)
+        left, before = staged(rest.join(follow.select(F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id"), "left_anti")), left
+        discard(before, sizes)
+        if left.isEmpty():
+            break
+    discard(left)
+    found = gone[0]
+    for more in gone[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of near copies the document with the smallest doc_id stays.
 
     Rows with the same doc_id and text stay or go together; different texts of one
-    doc_id are judged apart. A row without a doc_id stays.
+    doc_id are judged apart. A row without a doc_id stays. Other columns are kept
+    whatever their names.
     """
-    gone = near_copies(docs).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").isNotNull() & (row_key() == F.col("gone")), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = near_copies(docs).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id").isNotNull() & (row_key() == F.col(name)), "left_anti")

@@ -3,31 +3,38 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document
 with a smaller doc_id. Strings are judged on the input, matches never cross documents.
 
-1.  Copies. Texts are compared by hash and size; only the copy with the smallest doc_id
-    of a text goes on, the others are removed whole (a text of under ``LENGTH`` bytes
-    has no such string and stays).
+1.  Copies. Texts are told apart by a hash of 64 bits, which is checked: where different
+    texts (by SHA-256 and size) have the same hash, it is replaced for them. Only the
+    copy with the smallest doc_id of a text goes on, the others are removed whole (a text
+    of under ``LENGTH`` bytes has no such string and stays).
 2.  Anchors. In each string of ``LENGTH`` bytes the leftmost smallest hash of its
     ``GRAM``-byte substrings is its anchor, so equal strings have the same anchor at the
     same place, and neighbouring strings mostly share theirs (a segment). Anchors are
-    dealt by hash; those that several texts have are reported back.
-3.  Segments. The texts' segments of repeated anchors are dealt by anchor. An anchor
-    that more than ``HOT`` texts share is dealt by finer keys, with the bytes around it
-    that all strings of a narrower segment have, so no task gathers all its places.
+    dealt by hash; those that several texts have are reported back. Anchors that a share
+    of a sample of texts has are known to be common beforehand and are not dealt at all.
+3.  Segments. The texts' segments of repeated anchors are dealt by anchor. A common
+    anchor, or one that more than ``HOT`` texts share, is dealt by finer keys, with the
+    bytes around it that all strings of a narrower segment have. Of equal segments of a
+    common anchor a map task sends the one with the smallest document; the others are
+    repeats already. So no task gathers all places of an anchor or of a passage.
 4.  Suffix arrays. Different segments of an anchor form a block; the blocks' suffix
     arrays are built by linear grouping (``gsaca``), and runs of neighbours with
     ``LENGTH`` bytes in common have a smallest document. A segment that is the only one
-    of its anchor needs no array: its strings repeat in all its places.
+    of its anchor needs no array: its strings repeat in all its places. A block of more
+    than ``BLOCK`` segments is cut into blocks by the same finer keys.
 5.  Repeated strings go back to their documents, where they are merged and cut out.
 
-Anchors are dealt by their upper bits in blobs, 4 bytes each; hash collisions only cost
-candidates, since step 4 compares bytes.
+Anchors are dealt by their upper bits in blobs, 4 bytes each; collisions of their hashes
+only cost candidates, since step 4 compares bytes. The sample decides how anchors are
+dealt, never what is found.
 
 Defined cases
     * null text counts as empty; texts of under ``LENGTH`` bytes are kept whole
     * rows with a null doc_id come after all others and are not smaller than each other
     * repeated rows with the same doc_id are not smaller than each other; each is judged
       against the documents with smaller ids
-    * an empty table gives an empty result; extra columns are ignored
+    * an empty table gives an empty result; extra columns are ignored, and the pipeline's
+      stage keeps them whatever their names
 """
 
 from __future__ import annotations
@@ -37,11 +44,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import release, staged, table, tidy, trim
+from tidemill.llm.common import discard, fresh, staged, table, tidy, trim
 from tidemill.llm.gsaca import suffix_arrays
 
 NAME = "op3_suffix_dedup"
@@ -49,15 +57,21 @@ SQL = None
 LENGTH, GRAM = 50, 20
 #: Texts that may share an anchor before its segments get finer keys, and their width in strings.
 HOT, WIDTH = 200, 4
-#: Segments of a block at most; beyond it strings are compared one by one.
+#: Texts of the sample on average, and how many of them have a common anchor.
+SAMPLE, COMMON = 4096, 8
+#: Segments of a block at most before it is cut by finer keys.
 BLOCK = 400
 #: Bytes of texts that a map task turns into one round of blobs, and of blocks that go through the arrays together.
-ROUND, BATCH = 8 << 20, 1 << 20
+ROUND, BATCH = 4 << 20, 1 << 19
 #: Bytes of text for each bucket of anchors and of segments, and buckets at least.
-PER_BUCKET, BUCKETS = 32 << 20, 64
+PER_BUCKET, BUCKETS = 16 << 20, 64
+#: Segments that a map task remembers, to send equal ones once.
+REMEMBERED = 1 << 16
 
 _MULT = 0x9E3779B97F4A7C15
 _NEVER = (1 << 63) - 1
+#: In the place of an anchor: the segment has a finer key.
+FINE = 255
 
 
 # --- anchors --------------------------------------------------------------------
@@ -152,14 +166,37 @@ def _split(order: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield int(k[a]), order[a:b]
 
 
-def _emit_anchors(buckets: int):
+def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def _text_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher()
+    for rows in _rounds(batches, 0):
+        found = [np.unique(hasher.anchors(np.frombuffer(text, np.uint8))[0]) for (text,) in rows if len(text) >= LENGTH]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+
+def common_anchors(texts: DataFrame, n: int) -> np.ndarray:
+    """Sorted anchors that ``COMMON`` texts of a sample of ``n`` texts have; bounded by the anchors of the sample."""
+    drawn = texts.filter(F.pmod(F.xxhash64("k", "n_bytes"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    counts = drawn.mapInArrow(tidy(_text_anchors), "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
+    return np.sort(np.array([r[0] for r in counts.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _emit_anchors(buckets: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, known = Hasher(), common.value
         for rows in _rounds(batches, 1):
             found, who = [], []
             for k, (_, text) in enumerate(rows):
                 if len(text) >= LENGTH:
                     h = np.unique(hasher.anchors(np.frombuffer(text, np.uint8))[0])
+                    h = h[~_among(h, known)]
                     found.append(h)
                     who.append(np.full(len(h), k, np.uint32))
             if not found:
@@ -187,8 +224,8 @@ def _repeated(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
     who, low = np.concatenate(who), np.concatenate(low)
     order = np.lexsort((who, low))
     who, low = who[order], low[order]
-    fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (who[1:] != who[:-1])])
-    who, low = who[fresh], low[fresh]
+    fresh_ = np.concatenate([[True], (low[1:] != low[:-1]) | (who[1:] != who[:-1])])
+    who, low = who[fresh_], low[fresh_]
     head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     size = np.diff(np.append(head, len(low)))
     keep = np.repeat(size > 1, size)
@@ -207,28 +244,28 @@ def _mix(h: np.ndarray | int, data: bytes, part: int) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=int(h).to_bytes(8, "little") + part.to_bytes(4, "little")).digest(), "little")
 
 
-def text_segments(hasher: Hasher, data: np.ndarray, codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first string, end of strings) of the segments of a text's repeated anchors."""
+def parts_of(text: bytes, key: int, anchor: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """(finer key, first string, end of strings) of a segment: what all strings of a part have in common, whatever text they are in, is its key."""
+    for part in range((anchor - high + 1) // WIDTH, (anchor - low) // WIDTH + 1):
+        core = text[max(0, anchor - part * WIDTH) : anchor - part * WIDTH - WIDTH + 1 + LENGTH]
+        yield _mix(key, core, part), max(low, anchor - part * WIDTH - WIDTH + 1), min(high, anchor - part * WIDTH + 1)
+
+
+def text_segments(hasher: Hasher, data: np.ndarray, codes: np.ndarray, buckets: int, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, first string, end of strings, anchor's place from the first) of the segments of a text's repeated anchors; the last of a hot one is ``FINE``."""
     h, place, first, end = hasher.anchors(data)
     own = (_bucket(h, buckets).astype(np.int64) << np.int64(33)) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at = np.searchsorted(codes, own)  # codes are sorted; a hot one is the same with bit 32 set
-    cold = codes[np.minimum(at, len(codes) - 1)] == own
-    wanted = own | np.int64(1 << 32)
-    hot = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)] == wanted)
+    cold = _among(own, codes)  # codes are sorted; a hot one is the same with bit 32 set
+    hot = np.flatnonzero(_among(own | np.int64(1 << 32), codes) | _among(h, common))
     if not len(hot):
-        return h[cold], first[cold], end[cold]
-    keys, lows, highs = [], [], []
+        return h[cold], first[cold], end[cold], (place - first)[cold]
+    cold[hot] = False
     text = data.tobytes()
-    for key, a, lo, hi in zip(h[hot].tolist(), place[hot].tolist(), first[hot].tolist(), end[hot].tolist()):
-        for part in range((a - hi + 1) // WIDTH, (a - lo) // WIDTH + 1):
-            # what all strings of this part have in common, wherever it is cut off
-            core = text[max(0, a - part * WIDTH) : a - part * WIDTH - WIDTH + 1 + LENGTH]
-            keys.append(_mix(key, core, part))
-            lows.append(max(lo, a - part * WIDTH - WIDTH + 1))
-            highs.append(min(hi, a - part * WIDTH + 1))
+    fine = [p for a in zip(h[hot].tolist(), place[hot].tolist(), first[hot].tolist(), end[hot].tolist()) for p in parts_of(text, *a)]
+    keys, lows, highs = (np.array(x, kind) for x, kind in zip(zip(*fine), (np.uint64, np.int64, np.int64)))
     return (
-        np.concatenate([h[cold], np.array(keys, np.uint64)]), np.concatenate([first[cold], np.array(lows, np.int64)]),
-        np.concatenate([end[cold], np.array(highs, np.int64)]),
+        np.concatenate([h[cold], keys]), np.concatenate([first[cold], lows]), np.concatenate([end[cold], highs]),
+        np.concatenate([(place - first)[cold], np.full(len(keys), FINE)]),
     )
 
 
@@ -238,27 +275,48 @@ def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - first, size)
 
 
-def _emit_segments(buckets: int, dealt: int):
+_ASK = [np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8, np.int64, np.int64]
+
+
+def _emit_segments(buckets: int, common):
+    """Blobs of segments to judge (key, order and text, first string, strings, anchor's place, bytes) and of runs that are repeats already (text, run)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, known = Hasher(), common.value
+        seen: dict[tuple[int, bytes], int] = {}  # smallest document of equal segments that this task has sent
         for rows in _rounds(batches, 2):
-            keys, first, count, who = [], [], [], []
+            rows.sort(key=lambda r: r[0])
+            cells, done = [], []
             joined = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
             sizes = np.array([len(r[2]) for r in rows])
             begin = np.cumsum(sizes) - sizes
-            for i, (_, _, _, codes) in enumerate(rows):
-                key, lo, hi = text_segments(hasher, joined[begin[i] : begin[i] + sizes[i]], np.sort(np.array(codes, np.int64)), buckets)
-                keys.append(key)
-                first.append(lo)
-                count.append(hi - lo)
-                who.append(np.full(len(key), i))
-            keys, first, count, who = map(np.concatenate, (keys, first, count, who))
-            where = _bucket(keys * np.uint64(_MULT), dealt)
+            for i, (k, th, text, codes) in enumerate(rows):
+                key, lo, hi, place = text_segments(hasher, joined[begin[i] : begin[i] + sizes[i]], np.sort(np.array(codes or (), np.int64)), buckets, known)
+                ask = np.ones(len(key), bool)
+                for j in np.flatnonzero(place == FINE).tolist():
+                    a, b = int(lo[j]), int(hi[j])
+                    name = int(key[j]), text[a : b + LENGTH - 1]
+                    before = seen.get(name)
+                    if before is not None and before < k:
+                        ask[j] = False
+                        done.append((th, a << 32 | b))
+                    elif before is None or before > k:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen[name] = k
+                cells.append((key[ask], lo[ask], (hi - lo)[ask], place[ask], np.full(int(ask.sum()), i)))
+            keys, first, count, place, who = map(np.concatenate, zip(*cells))
+            where = _bucket(keys * np.uint64(_MULT), buckets)
+            known_th, known_run = (np.array(x, np.int64) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 2
+            their = _bucket(known_th.view(np.uint64) * np.uint64(_MULT), buckets)
             ids, docs = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            out = []
-            for b, at in _split(np.argsort(where, kind="stable"), where):
+            asks, told = dict(_split(np.argsort(where, kind="stable"), where)), dict(_split(np.argsort(their, kind="stable"), their))
+            none, out = np.zeros(0, np.int64), []
+            for b in sorted({*asks, *told}):
+                at, also = asks.get(b, none), told.get(b, none)
                 strings = joined[_pieces(begin[who[at]] + first[at], count[at] + LENGTH - 1)]
-                out.append((b, _blob(keys[at], ids[who[at]], docs[who[at]], first[at].astype(np.uint32), count[at].astype(np.uint8), strings)))
+                values = keys[at], ids[who[at]], docs[who[at]], first[at], count[at], place[at], strings, known_th[also], known_run[also]
+                out.append((b, _blob(*(v.astype(kind) for v, kind in zip(values, _ASK)))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], ["bucket", "blob"])
 
@@ -319,70 +377,80 @@ def _solve(segments: list[tuple[int, bytes, int]], out: list, base: int) -> None
         out[base + k] = result[b : b + c]
 
 
-def _plain(segments: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
-    """The same for a block with too many segments for one array: by the strings themselves."""
-    best: dict[bytes, int] = {}
-    for _, data, doc in segments:
-        for i in range(len(data) - LENGTH + 1):
-            s = data[i : i + LENGTH]
-            if doc < best.get(s, _NEVER + 1):
-                best[s] = doc
-    return [np.array([best[d[i : i + LENGTH]] for i in range(len(d) - LENGTH + 1)], np.int64) for _, d, _ in segments]
+def _least_of_block(segments: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
+    """For a block that is too large, of segments (bytes, smallest document, anchor's place): it is cut into blocks by finer keys."""
+    out = [np.full(len(data) - LENGTH + 1, doc, np.int64) for data, doc, _ in segments]
+    cut_: dict[int, list[tuple[int, int, int]]] = {}
+    for i, (data, _, place) in enumerate(segments):
+        for key, lo, hi in parts_of(data, 0, place, 0, len(data) - LENGTH + 1):
+            cut_.setdefault(key, []).append((i, lo, hi))
+    blocks = sorted((b for b in cut_.values() if len(b) > 1), key=len)
+    flat = [(n, *p) for n, b in enumerate(blocks) for p in b]
+    for (_, i, lo, hi), best in zip(flat, least_documents([(n, segments[i][0][lo : hi + LENGTH - 1], segments[i][1]) for n, i, lo, hi in flat])):
+        out[i][lo:hi] = best
+    return out
 
 
 def _judge(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
     """Runs of repeated strings of the texts: (text, first << 32 | end)."""
-    places: list[tuple[np.ndarray, ...]] = []
-    known: dict[tuple[int, bytes], int] = {}
-    least: list[int] = []
-    names: list[tuple[int, bytes]] = []
-    for blob in held.column(1).to_pylist():
-        keys, ids, docs, first, count, data = _unblob(blob, [np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8])
-        data, at = data.tobytes(), 0
-        index = np.empty(len(keys), np.int64)
-        for i, (k, doc, c) in enumerate(zip(keys.tolist(), ids.tolist(), count.tolist())):
-            name = (k, data[at : at + c + LENGTH - 1])
-            at += c + LENGTH - 1
-            j = known.setdefault(name, len(names))
-            if j == len(names):
-                names.append(name)
-                least.append(doc)
-            elif doc < least[j]:
-                least[j] = doc
-            index[i] = j
-        places.append((index, ids, docs, first.astype(np.int64), count.astype(np.int64)))
-    del known
-    order = sorted(range(len(names)), key=lambda j: names[j][0])
-    groups: list[list[int]] = []
-    for j in order:
-        if groups and names[groups[-1][0]][0] == names[j][0]:
-            groups[-1].append(j)
-        else:
-            groups.append([j])
+    keys, ids, docs, first, count, place, data, texts, runs = map(np.concatenate, zip(*(_unblob(b, _ASK) for b in held.column(1).to_pylist())))
+    size = count.astype(np.int64) + LENGTH - 1
+    end = np.cumsum(size)
+    raw, spans = data.tobytes(), list(zip((end - size).tolist(), end.tolist()))
+    del data
+    digest = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in spans), np.uint64, len(spans))
+    # equal segments of a key come together, the smallest document first
+    order = np.lexsort((ids, digest, keys))
+    same = (keys[order[1:]] == keys[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
+    for i in np.flatnonzero(same).tolist():
+        (a, b), (c, d) = spans[order[i]], spans[order[i + 1]]
+        same[i] = raw[a:b] == raw[c:d]
+    head = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
+    many = np.diff(np.append(head, len(order)))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(ids[order[head]], many)
+    run = first.astype(np.int64) << 32 | first.astype(np.int64) + count
+    again = ids > least
+    found = [(np.concatenate([texts, docs[again]]), np.concatenate([runs, run[again]]))]
+
+    def places(name: int, best: np.ndarray) -> None:
+        for p in order[head[name] : head[name] + many[name]].tolist():
+            if not again[p]:
+                hit = np.flatnonzero(np.diff(np.concatenate([[0], (best < ids[p]).astype(np.int8), [0]]))) + int(first[p])
+                found.append((np.full(len(hit) // 2, docs[p]), hit[::2] << 32 | hit[1::2]))
+
+    def segment(name: int) -> tuple[bytes, int, int]:
+        p = int(order[head[name]])
+        return raw[slice(*spans[p])], int(ids[p]), int(place[p])
+
+    own = keys[order[head]]
+    block = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    names = np.diff(np.append(block, len(own)))
     # blocks of like size go through the arrays together: a long one needs many more steps
-    small = [j for g in sorted((g for g in groups if 1 < len(g) <= BLOCK), key=len) for j in g]
-    found: dict[int, np.ndarray] = dict(zip(small, least_documents([(names[j][0] & _NEVER, names[j][1], least[j]) for j in small])))
-    for g in groups:
-        if len(g) > BLOCK:
-            found.update(zip(g, _plain([(0, names[j][1], least[j]) for j in g])))
-    first_doc = np.array(least, np.int64)
-    texts, runs = [], []
-    for index, ids, docs, first, count in places:
-        again = ids > first_doc[index]
-        texts.append(docs[again])
-        runs.append(first[again] << 32 | first[again] + count[again])
-        for i in np.flatnonzero(~again).tolist():
-            best = found.get(int(index[i]))
-            if best is not None:
-                hit = np.flatnonzero(np.diff(np.concatenate([[0], (best < ids[i]).astype(np.int8), [0]])))
-                for a, b in zip((hit[::2] + first[i]).tolist(), (hit[1::2] + first[i]).tolist()):
-                    texts.append(docs[i : i + 1])
-                    runs.append(np.array([a << 32 | b], np.int64))
-    texts = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    runs = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-    del names, found, places
+    batch: list[tuple[int, bytes, int]] = []
+    owners: list[int] = []
+    held_bytes = 0
+    for b in np.flatnonzero(names > 1)[np.argsort(names[names > 1], kind="stable")].tolist():
+        members = range(int(block[b]), int(block[b] + names[b]))
+        if len(members) > BLOCK and int(place[order[head[members[0]]]]) != FINE:
+            for name, best in zip(members, _least_of_block([segment(m) for m in members])):
+                places(name, best)
+            continue
+        for m in members:
+            bytes_, doc, _ = segment(m)
+            batch.append((b, bytes_, doc))
+            owners.append(m)
+            held_bytes += len(bytes_)
+        if held_bytes >= BATCH:
+            for name, best in zip(owners, least_documents(batch)):
+                places(name, best)
+            batch, owners, held_bytes = [], [], 0
+    for name, best in zip(owners, least_documents(batch)):
+        places(name, best)
+    texts, runs = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+    del found, raw, spans
     trim()
-    return pa.table([pa.array(texts, pa.int64()), pa.array(runs, pa.int64())], names=["th", "run"])
+    return pa.table([pa.array(texts), pa.array(runs)], names=["th", "run"])
 
 
 # --- documents ------------------------------------------------------------------
@@ -404,40 +472,65 @@ def cut(text: bytes, runs: list[int] | None) -> tuple[bytes, list[tuple[int, int
     return b"".join([*kept, text[at:]]), [tuple(s) for s in spans]
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """Rows with their order ``k``, the hash ``th`` of their text and its size."""
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _keys(clashes: list[int]) -> tuple[Column, Column, Column]:
+    """Order of a row, hash of its text, and size; ``clashes`` are hashes that different texts have."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NEVER)).alias("k"),
-        F.xxhash64(text).alias("th"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        text.alias("text"),
+    th = text_hash(text)
+    return (
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NEVER)),
+        F.when(th.isin(clashes), F.xxhash64(th, F.sha2(text, 256))).otherwise(th) if clashes else th,
+        F.octet_length(text).cast("long"),
     )
 
 
-def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(th, n_bytes, least): the smallest document of each text; (th, runs) of repeated strings in it."""
-    keyed = _keyed(documents)
-    first = staged(keyed.groupBy("th", "n_bytes").agg(F.min("k").alias("least")))
-    total = first.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(BUCKETS, round(total / PER_BUCKET))
+def _keyed(documents: DataFrame, clashes: list[int]) -> DataFrame:
+    """doc_id and text of rows with their order ``k``, the hash ``th`` of their text and its size."""
+    k, th, size = _keys(clashes)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), th.alias("th"), size.alias("n_bytes"), text.alias("text"))
+
+
+def texts_of(documents: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(th, n_bytes, least) with the smallest document of each different text, staged, and the hashes that clash.
+
+    Texts are the same if SHA-256 and size agree. Hashes of 64 bits of which two texts
+    have the same are very few (about one for 6 * 10^9 texts) and come to the driver.
+    """
+    clashes: list[int] = []
+    while True:
+        keyed = _keyed(documents, clashes).withColumn("exact", F.unhex(F.sha2("text", 256)))
+        first = staged(keyed.groupBy("th", "n_bytes", "exact").agg(F.min("k").alias("least")))
+        more = [r["th"] for r in first.groupBy("th").count().filter("count > 1").collect()]
+        if not more:
+            return first, clashes
+        clashes += more
+        discard(first)
+
+
+def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(th, n_bytes, least): the smallest document of each text; (th, runs) of repeated strings in it; clashes of ``th``."""
+    first, clashes = texts_of(documents)
+    first = first.drop("exact")
+    keyed = _keyed(documents, clashes)
+    n, total = first.agg(F.count("*"), F.sum("n_bytes")).first()
+    buckets = max(BUCKETS, round((total or 0) / PER_BUCKET))
     long_ = keyed.filter(F.col("n_bytes") >= LENGTH)
-    blobs = long_.select("th", "text").mapInArrow(tidy(_emit_anchors(buckets)), "bucket long, blob binary")
+    common = documents.sparkSession.sparkContext.broadcast(common_anchors(long_, n))  # anchors of a sample at most
+    blobs = long_.select("th", "text").mapInArrow(tidy(_emit_anchors(buckets, common)), "bucket long, blob binary")
     anchors = blobs.groupBy("bucket").applyInArrow(_repeated, "th long, anchor long")
-    codes = staged(anchors.groupBy("th").agg(F.collect_list("anchor").alias("codes")).join(first, "th").select("th", "n_bytes", "least", "codes"))
-    del blobs, anchors
-    release(documents.sparkSession)
-    rows = long_.join(
-        codes.select(F.col("th").alias("code_th"), F.col("n_bytes").alias("size"), "least", "codes"),
-        (F.col("th") == F.col("code_th")) & (F.col("k") == F.col("least")) & (F.col("n_bytes") == F.col("size")),
-    )
-    segments = rows.select("k", "th", "text", "codes").mapInArrow(tidy(_emit_segments(buckets, buckets)), "bucket long, blob binary")
+    codes = staged(anchors.groupBy("th").agg(F.collect_list("anchor").alias("codes")))
+    wanted = first.filter(F.col("n_bytes") >= LENGTH).join(codes, "th", "left" if len(common.value) else "inner")
+    wanted = wanted.select(F.col("th").alias("code_th"), "least", "codes")
+    rows = long_.join(wanted, (F.col("th") == F.col("code_th")) & (F.col("k") == F.col("least")))
+    segments = rows.select("k", "th", "text", "codes").mapInArrow(tidy(_emit_segments(buckets, common)), "bucket long, blob binary")
     runs = segments.groupBy("bucket").applyInArrow(_judge, "th long, run long")
     done = staged(runs.groupBy("th").agg(F.collect_set("run").alias("runs")))
-    del rows, segments, runs
-    release(documents.sparkSession)
-    return first, done
+    discard(codes)
+    return first, done, clashes
 
 
 def _apply(schema: str, shape):
@@ -460,11 +553,11 @@ def _apply(schema: str, shape):
 
 def suffix_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    first, runs = repeats(documents)
-    keyed = _keyed(documents)
+    first, runs, clashes = repeats(documents)
+    keyed = _keyed(documents, clashes)
     # copies need no text: whole or not at all, by size
     light = keyed.select("doc_id", "k", "th", "n_bytes", F.when(F.col("n_bytes") < LENGTH, F.sha2("text", 256)).alias("short"))
-    copies = light.join(first, ["th", "n_bytes"]).filter(F.col("k") > F.col("least"))
+    copies = light.join(first.select("th", "least"), "th").filter(F.col("k") > F.col("least"))
     whole = F.col("n_bytes") >= LENGTH
     copies = copies.select(
         "doc_id",
@@ -483,8 +576,8 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
 
 def _originals(keyed: DataFrame, first: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows that hold the smallest document of their text, with the text's runs."""
-    named = first.join(runs, "th", "left").select(F.col("th").alias("own"), F.col("n_bytes").alias("size"), "least", "runs")
-    return keyed.join(named, (F.col("th") == F.col("own")) & (F.col("n_bytes") == F.col("size")) & (F.col("k") == F.col("least")))
+    named = first.join(runs, "th", "left").select(F.col("th").alias("own"), "least", "runs")
+    return keyed.join(named, (F.col("th") == F.col("own")) & (F.col("k") == F.col("least")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,19 +589,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A character that a cut splits is dropped. ``n_chars`` follows the text.
     """
-    first, runs = repeats(docs)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns(
-        {
-            "_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NEVER)),
-            "_th": F.xxhash64(text),
-            "_size": F.octet_length(text).cast("long"),
-        }
-    )
-    named = first.join(runs, "th", "left").select(F.col("th").alias("own"), F.col("n_bytes").alias("size"), "least", "runs")
-    same = (F.col("_th") == F.col("own")) & (F.col("_size") == F.col("size"))
-    copies = keyed.filter(F.col("_size") < LENGTH).join(named.drop("runs"), same).filter(F.col("_k") > F.col("least")).select(*docs.columns)
-    found = keyed.join(named, same & (F.col("_k") == F.col("least"))).select(*docs.columns, "runs")
+    first, runs, clashes = repeats(docs)
+    k, th, size, own, least, spans_ = fresh(docs, "k", "th", "size", "own", "least", "runs")
+    keyed = docs.withColumns(dict(zip((k, th, size), _keys(clashes))))
+    named = first.join(runs, "th", "left").select(F.col("th").alias(own), F.col("least").alias(least), F.col("runs").alias(spans_))
+    same = F.col(th) == F.col(own)
+    copies = keyed.filter(F.col(size) < LENGTH).join(named.drop(spans_), same).filter(F.col(k) > F.col(least)).drop(k, th, size, own, least)
+    found = keyed.join(named, same & (F.col(k) == F.col(least))).drop(k, th, size, own, least)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
