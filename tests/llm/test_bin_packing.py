@@ -58,3 +58,18 @@ def test_defined_cases(spark):
     assert op.bin_packing(df.limit(0)).count() == 0
     one = op.bin_packing(df, cluster="size").collect()
     assert len({(r.shard, r.bin) for r in one if r.n_words}) == 7
+
+
+def test_many_pieces_of_one_source_and_of_one_row(spark):
+    import time
+
+    pieces = [(1, "s", i) for i in range(20_000)] + [(1, i % 40, -i) for i in range(20_000)]
+    began = time.thread_time()
+    placed = op.pack(pieces, 2048)
+    assert time.thread_time() - began < 10 and len(set(placed)) == len(pieces)
+    assert placed[:500] == slow(pieces[:500], 2048)
+    df = spark.createDataFrame([(None, "same words", "s")] * 1050 + [(1, None, "s")] * 3, "doc_id long, text string, source string").withColumn("w", F.lit(1)).withColumn("n", F.lit("a"))
+    got = op.bin_packing(df, shard_words=300).collect()
+    assert len(got) == 1053 and len({(r.shard, r.bin) for r in got if r.n_words}) == 1050
+    shards = {r.shard for r in got}
+    assert len(shards) > 3 and max(sum(r.shard == s for r in got) for s in shards) <= 500

@@ -96,3 +96,26 @@ def test_stage_finds_short_texts_and_short_items(spark, tmp_path):
     b.write.parquet(f"{tmp_path}/benchmark.parquet")
     left = {r.doc_id for r in op.keep_clean(spark, a, str(tmp_path)).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in expected} - {d for d, _ in slow(docs, items)}
+
+
+def test_query_matches_its_sql_on_short_texts_and_items(spark, tmp_path):
+    import duckdb
+
+    item = "one two three four five six seven eight nine ten"
+    docs = [(1, None), (2, ""), (3, "tiny item and a tiny item"), (4, item.rsplit(" ", 1)[0]), (4, "other text"), (None, item.upper()), (5, "before it " + item), (6, "one two three four five")]
+    items = [(1, item), (1, item), (2, None), (3, "Tiny item"), (4, "after one")]
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted((tuple(r) for r in op.query(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(duckdb.sql(op.SQL).fetchall(), key=str)
+    assert {(d, i, s) for d, i, s, _ in got} == {(3, 3, 0), (4, 1, 0), (None, 1, 0), (5, 1, 2)}
+
+
+def test_stage_keeps_odd_columns(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(1, item, 1), (2, "clean", 2), (2, "clean", 2), (None, None, 3)], "doc_id long, text string, bad long").withColumn("bad_id", F.lit("x")).withColumn("start", F.lit(1))
+    out = op.keep_clean(spark, df, str(tmp_path))
+    assert out.columns == df.columns and sorted(r.bad for r in out.collect()) == [2, 2, 3]
+    assert op.keep_clean(spark, df.limit(0), str(tmp_path)).count() == 0

@@ -27,13 +27,14 @@ benchmark has at most ``BROADCAST`` shingles, a number that is counted first; on
 windows at shared shingles leave the map stage. Beyond that number documents and
 benchmark meet by a shuffle on the shingle's hash.
 
-The query is held to its SQL, which leaves out texts with fewer words than an item and
-items of fewer than five words. The pipeline's stage has them, too (``contaminated_short``).
+A text with fewer words than an item is one window as a whole, and an item of fewer than
+five words is one shingle of its own length (``contaminated_short``); the query and the
+pipeline's stage have both.
 
 Defined cases
-    * null and empty texts, and texts with fewer words than an item, have no window of
-      its size and don't match it in the query
-    * an item with fewer than five words has no shingle and never matches in the query
+    * null and empty texts have no window; nor has a null or empty item
+    * a text shorter than an item matches if it holds the threshold of the item's shingles
+    * an item of fewer than five words matches where its words stand in a row
     * repeated benchmark rows with the same item_id are one item if their texts agree;
       else each text is looked for, and the best of them counts
     * repeated rows of documents count once (the best window over all of them)
@@ -46,7 +47,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import settle, table
+from tidemill.llm.common import fresh, settle, table
 
 NAME = "op4_decontaminate"
 SHINGLE, THRESHOLD = 5, 0.8
@@ -114,7 +115,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     marks = wanted.select("h", "item", "n")
     # 1. places that share a shingle with an item, 2. the item-sized window at each of them
     start = F.least(F.col("at"), F.size("shingles") - F.col("n"))
-    if wanted.count() <= BROADCAST:
+    if few:
         seeds = docs.select("key", "doc", "shingles", F.posexplode("shingles").alias("at", "h")).join(F.broadcast(marks), "h")
     else:
         places = docs.select("doc", F.posexplode("shingles").alias("at", "h")).join(marks, "h").select("doc", "at", "item", "n")
@@ -164,7 +165,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
 
 def contaminated_short(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, similarity) of the pairs that have no window or no shingle in ``contaminated``.
+    """(doc_id, item_id, start, similarity) of the pairs that have no window or no shingle in ``contaminated``.
 
     A text with fewer shingles than an item is one window as a whole; similarity is over
     the item's shingles still, and no fingerprint is asked. An item of fewer than five
@@ -186,31 +187,38 @@ def contaminated_short(documents: DataFrame, benchmark: DataFrame, threshold: fl
         .agg((F.sum(F.least("here", "weight")) / F.col("n")).alias("similarity"))
         .filter(F.col("similarity") >= threshold)
     )
-    found = similar.join(items.select("item", "item_id"), "item").select(F.col("key").alias("doc_id"), "item_id", "similarity")
+    found = similar.join(items.select("item", "item_id"), "item").select(F.col("key").alias("doc_id"), "item_id", F.lit(0).cast("long").alias("start"), "similarity")
 
     brief = benchmark.select("item_id", _words(F.col("text")).alias("w")).filter(F.size("w").between(1, SHINGLE - 1))
     brief = settle(brief.select("item_id", F.size("w").alias("size"), F.concat_ws(" ", "w").alias("words")).distinct())
     small = brief.count() <= BROADCAST
     for size in sorted(r["size"] for r in brief.select("size").distinct().collect()):  # four at most
-        each = F.expr(f"w -> CASE WHEN size(w) >= {size} THEN array_distinct(transform(sequence(0, size(w) - {size}), i -> array_join(slice(w, i + 1, {size}), ' '))) END")
+        each = F.expr(f"w -> CASE WHEN size(w) >= {size} THEN transform(sequence(0, size(w) - {size}), i -> array_join(slice(w, i + 1, {size}), ' ')) END")
         grams = F.element_at(F.call_function("transform", F.array(_words(F.col("text"))), each), 1)
         of_size = brief.filter(F.col("size") == size).select("item_id", "words")
-        places = documents.select("doc_id", F.explode(grams).alias("words"))
+        places = documents.select("doc_id", F.posexplode(grams).alias("at", "words"))
         met = places.join(F.broadcast(of_size) if small else of_size, "words")
-        found = found.unionByName(met.select("doc_id", "item_id", F.lit(1.0).alias("similarity")))
-    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+        found = found.unionByName(met.groupBy("doc_id", "item_id").agg(F.min("at").cast("long").alias("start")).select("*", F.lit(1.0).alias("similarity")))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"))
+    return best.select("doc_id", "item_id", (-F.col("best.start")).cast("long").alias("start"), F.round("best.similarity", 6).alias("similarity"))
+
+
+def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, similarity): the best place for each pair, whatever their lengths."""
+    found = contaminated(documents, benchmark).select("doc_id", "item_id", "start", "similarity").unionByName(contaminated_short(documents, benchmark))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best"))
+    return best.select("doc_id", "item_id", (-F.col("best.start")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "similarity")
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that contain a benchmark item go, short texts and short items included."""
-    items = table(spark, sf_dir, "benchmark")
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id"))
-    bad = bad.union(contaminated_short(docs, items).select("doc_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    (name,) = fresh(docs, "bad")
+    bad = contaminations(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 SQL = """
@@ -232,9 +240,21 @@ cells AS (
 sims AS (
   SELECT doc, item, start, sum(least(here, weight)) / max(c.n) AS similarity
   FROM cells c JOIN wanted t USING (item, h) GROUP BY doc, item, start),
+short AS (
+  SELECT doc, item, 0 AS start, sum(least(here, weight)) / max(t.n) AS similarity
+  FROM (SELECT doc, m, h, count(*) AS here FROM places GROUP BY ALL) p JOIN wanted t USING (h) WHERE m < n GROUP BY doc, item),
+long_ AS (
+  SELECT doc_id, item_id, start, similarity
+  FROM (SELECT * FROM sims UNION ALL SELECT * FROM short) JOIN items USING (item) JOIN docs USING (doc) WHERE similarity >= 0.8),
+brief AS (SELECT DISTINCT item_id, len(w) AS size, array_to_string(w, ' ') AS words FROM iw WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT DISTINCT size FROM brief),
+grams AS (
+  SELECT doc_id, size, array_to_string(w[i:i + size - 1], ' ') AS words, i - 1 AS start
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes WHERE len(w) >= size)),
+found AS (
+  SELECT doc_id, item_id, start, similarity FROM long_
+  UNION ALL SELECT doc_id, item_id, start, 1.0 FROM grams JOIN brief USING (size, words)),
 ranked AS (
-  SELECT doc_id, item_id, start, similarity,
-         row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k
-  FROM sims JOIN items USING (item) JOIN docs USING (doc) WHERE similarity >= 0.8)
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM found)
 SELECT doc_id, item_id, start::BIGINT AS start, round(similarity, 6) AS similarity FROM ranked WHERE k = 1
 """
