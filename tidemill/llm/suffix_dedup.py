@@ -63,8 +63,8 @@ SAMPLE, COMMON = 4096, 8
 BLOCK = 400
 #: Bytes of texts that a map task turns into one round of blobs, and of blocks that go through the arrays together.
 ROUND, BATCH = 4 << 20, 1 << 19
-#: Bytes of text for each bucket of anchors and of segments, and buckets at least.
-PER_BUCKET, BUCKETS = 16 << 20, 64
+#: Bytes of text for each bucket of anchors, segments for each bucket of those, and buckets at least.
+PER_BUCKET, SEGMENTS, BUCKETS = 16 << 20, 1 << 15, 64
 #: Segments that a map task remembers, to send equal ones once.
 REMEMBERED = 1 << 16
 
@@ -118,7 +118,10 @@ class Hasher:
             span += by
         cut = np.flatnonzero(np.diff(place)) + 1
         first = np.concatenate([[0], cut])
-        return value[first], place[first].astype(np.int64), first, np.append(cut, len(place))
+        # the smallest of many hashes is a small number: mixed again, so that anchors are dealt evenly
+        own = value[first] * np.uint64(_MULT)
+        own = (own ^ own >> np.uint64(32)) * np.uint64(_MULT)
+        return own, place[first].astype(np.int64), first, np.append(cut, len(place))
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -278,7 +281,7 @@ def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 _ASK = [np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8, np.int64, np.int64]
 
 
-def _emit_segments(buckets: int, common):
+def _emit_segments(buckets: int, dealt: int, common):
     """Blobs of segments to judge (key, order and text, first string, strings, anchor's place, bytes) and of runs that are repeats already (text, run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +309,9 @@ def _emit_segments(buckets: int, common):
                         seen[name] = k
                 cells.append((key[ask], lo[ask], (hi - lo)[ask], place[ask], np.full(int(ask.sum()), i)))
             keys, first, count, place, who = map(np.concatenate, zip(*cells))
-            where = _bucket(keys * np.uint64(_MULT), buckets)
+            where = _bucket(keys * np.uint64(_MULT), dealt)
             known_th, known_run = (np.array(x, np.int64) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 2
-            their = _bucket(known_th.view(np.uint64) * np.uint64(_MULT), buckets)
+            their = _bucket(known_th.view(np.uint64) * np.uint64(_MULT), dealt)
             ids, docs = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             asks, told = dict(_split(np.argsort(where, kind="stable"), where)), dict(_split(np.argsort(their, kind="stable"), their))
             none, out = np.zeros(0, np.int64), []
@@ -396,15 +399,15 @@ def _judge(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
     keys, ids, docs, first, count, place, data, texts, runs = map(np.concatenate, zip(*(_unblob(b, _ASK) for b in held.column(1).to_pylist())))
     size = count.astype(np.int64) + LENGTH - 1
     end = np.cumsum(size)
-    raw, spans = data.tobytes(), list(zip((end - size).tolist(), end.tolist()))
+    raw, begin = data.tobytes(), end - size
     del data
-    digest = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in spans), np.uint64, len(spans))
+    digest = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
     # equal segments of a key come together, the smallest document first
     order = np.lexsort((ids, digest, keys))
     same = (keys[order[1:]] == keys[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
     for i in np.flatnonzero(same).tolist():
-        (a, b), (c, d) = spans[order[i]], spans[order[i + 1]]
-        same[i] = raw[a:b] == raw[c:d]
+        x, y = order[i], order[i + 1]
+        same[i] = raw[begin[x] : end[x]] == raw[begin[y] : end[y]]
     head = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
     many = np.diff(np.append(head, len(order)))
     least = np.empty(len(order), np.int64)
@@ -421,7 +424,7 @@ def _judge(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
 
     def segment(name: int) -> tuple[bytes, int, int]:
         p = int(order[head[name]])
-        return raw[slice(*spans[p])], int(ids[p]), int(place[p])
+        return raw[begin[p] : end[p]], int(ids[p]), int(place[p])
 
     own = keys[order[head]]
     block = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
@@ -448,7 +451,7 @@ def _judge(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
     for name, best in zip(owners, least_documents(batch)):
         places(name, best)
     texts, runs = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-    del found, raw, spans
+    del found, raw
     trim()
     return pa.table([pa.array(texts), pa.array(runs)], names=["th", "run"])
 
@@ -523,10 +526,11 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     blobs = long_.select("th", "text").mapInArrow(tidy(_emit_anchors(buckets, common)), "bucket long, blob binary")
     anchors = blobs.groupBy("bucket").applyInArrow(_repeated, "th long, anchor long")
     codes = staged(anchors.groupBy("th").agg(F.collect_list("anchor").alias("codes")))
+    dealt = max(BUCKETS, (codes.agg(F.sum(F.size("codes"))).first()[0] or 0) // SEGMENTS)
     wanted = first.filter(F.col("n_bytes") >= LENGTH).join(codes, "th", "left" if len(common.value) else "inner")
     wanted = wanted.select(F.col("th").alias("code_th"), "least", "codes")
     rows = long_.join(wanted, (F.col("th") == F.col("code_th")) & (F.col("k") == F.col("least")))
-    segments = rows.select("k", "th", "text", "codes").mapInArrow(tidy(_emit_segments(buckets, common)), "bucket long, blob binary")
+    segments = rows.select("k", "th", "text", "codes").mapInArrow(tidy(_emit_segments(buckets, dealt, common)), "bucket long, blob binary")
     runs = segments.groupBy("bucket").applyInArrow(_judge, "th long, run long")
     done = staged(runs.groupBy("th").agg(F.collect_set("run").alias("runs")))
     discard(codes)
