@@ -7,12 +7,13 @@ from tidemill import dialect
     "text, expected",
     [
         ("select 'a||b', \"it's\" from t", "select 'a||b', 'it\\'s' from t"),
-        ("select a || b && !c", "select a  OR  b  AND   NOT c"),
+        ("select a || b && !c", "select (CAST((a) AS BOOLEAN) OR CAST(((CAST((b) AS BOOLEAN) AND CAST(((NOT CAST((c) AS BOOLEAN))) AS BOOLEAN))) AS BOOLEAN)) "),
         ("select * from t limit 5, 10", "select * from t limit 10 OFFSET 5"),
         ("select lcase(x), lcase from t", "select lower(x), lcase from t"),
         ("select x->>'$.a' from t", "select get_json_object(x, '$.a') from t"),
-        ("select /*+ CMD: BKA_JOIN(a, b) */ 1", "select /*+ BROADCAST(a, b) */ 1"),
-        ("select a regexp 'x' xor b", "select a RLIKE 'x'  <>  b"),
+        ("select /*+ CMD: BKA_JOIN(a, b) */ 1", "select /*+ SHUFFLE_HASH(a, b) */ 1"),
+        ("select a regexp 'x' xor b", "select (CAST((a RLIKE 'x') AS BOOLEAN) <> CAST((b) AS BOOLEAN))"),
+        ("select a * b / c, 7 % (x + 1)", "select try_divide(a * b, c), try_mod(7, (x + 1))"),
     ],
 )
 def test_rewrite(text, expected):

@@ -37,31 +37,54 @@ def bit_xor_agg(x: Column) -> Column:
 
 
 def group_concat(x: Column, separator: str = ",", distinct: bool = False, order: Column | None = None, descending: bool = False) -> Column:
-    """Texts of a group, ordered by ``order`` (by themselves if None)."""
+    """Texts of a group, ordered by ``order`` (by themselves if None); a distinct text stands at its first place."""
     by = order if order is not None else x
-    held = F.collect_set(F.struct(by.alias("o"), x.alias("x"))) if distinct else F.collect_list(F.struct(by.alias("o"), x.alias("x")))
-    held = F.sort_array(F.filter(held, lambda e: e["x"].isNotNull()), asc=not descending)
+    held = F.filter((F.collect_set if distinct else F.collect_list)(F.struct(by.alias("o"), x.alias("x"))), lambda e: e["x"].isNotNull())
+    if distinct and order is not None:
+        pairs = F.sort_array(F.transform(held, lambda e: F.struct(e["x"].alias("x"), e["o"].alias("o"))), asc=not descending)
+        first = F.filter(pairs, lambda e, i: (i == 0) | (F.get(pairs, i - 1)["x"] != e["x"]))
+        held = F.transform(first, lambda e: F.struct(e["o"].alias("o"), e["x"].alias("x")))
+    held = F.sort_array(held, asc=not descending)
     return F.when(F.size(held) > 0, F.array_join(F.transform(held, lambda e: e["x"].cast("string")), separator))
 
 
+def _json(value: Column) -> Column:
+    """JSON of the only field of a struct."""
+    return F.when(value["x"].isNull(), "null").otherwise(F.regexp_extract(F.to_json(value), r'(?s)^\{"x":(.*)\}$', 1))
+
+
 def json_arrayagg(x: Column, order: Column | None = None) -> Column:
     """JSON array with its NULLs; NULL over no rows."""
     by = order if order is not None else x
     held = F.sort_array(F.collect_list(F.struct(by.alias("o"), F.struct(x.alias("x")).alias("v"))))
-    one = lambda e: F.when(e["v"]["x"].isNull(), "null").otherwise(F.regexp_extract(F.to_json(e["v"]), r'(?s)^\{"x":(.*)\}$', 1))
-    return F.when(F.size(held) > 0, F.concat(F.lit("["), F.array_join(F.transform(held, one), ","), F.lit("]")))
+    return F.when(F.size(held) > 0, F.concat(F.lit("["), F.array_join(F.transform(held, lambda e: _json(e["v"])), ","), F.lit("]")))
 
 
 def json_objectagg(key: Column, value: Column, order: Column | None = None) -> Column:
-    """JSON object; the last of equal keys wins, a NULL key is an error."""
+    """JSON object with its values' own types; the last of equal keys wins, a NULL key is an error."""
     checked = F.when(key.isNull(), F.raise_error(F.lit("JSON documents may not contain NULL member names")).cast("string")).otherwise(key.cast("string"))
-    held = F.sort_array(F.collect_list(F.struct((order if order is not None else key).alias("o"), checked.alias("k"), value.alias("v"))))
-    merged = F.aggregate(
-        held,
-        F.create_map().cast("map<string,string>"),
-        lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"].cast("string"))),
-    )
-    return F.when(F.size(held) > 0, F.to_json(merged))
+    pair = F.concat(_json(F.struct(checked.alias("x"))), F.lit(":"), _json(F.struct(value.alias("x"))))
+    held = F.sort_array(F.collect_list(F.struct(checked.alias("k"), (order if order is not None else key).alias("o"), pair.alias("p"))))
+    last = F.filter(held, lambda e, i: (i == F.size(held) - 1) | (F.get(held, i + 1)["k"] != e["k"]))
+    members = F.sort_array(F.transform(last, lambda e: F.struct(e["o"].alias("o"), e["p"].alias("p"))))
+    return F.when(F.size(held) > 0, F.concat(F.lit("{"), F.array_join(F.transform(members, lambda e: e["p"]), ","), F.lit("}")))
+
+
+def json_array_globalagg(partial: Column, order: Column | None = None) -> Column:
+    """Merge JSON arrays of partial aggregates; NULL if there is none."""
+    by = order if order is not None else partial
+    held = F.sort_array(F.collect_list(F.struct(by.alias("o"), F.regexp_extract(partial, r"(?s)^\s*\[(.*)\]\s*$", 1).alias("p"), partial.isNull().alias("none"))))
+    parts = F.filter(held, lambda e: ~e["none"] & (F.trim(e["p"]) != ""))
+    return F.when(F.count(partial) > 0, F.concat(F.lit("["), F.array_join(F.transform(parts, lambda e: e["p"]), ","), F.lit("]")))
+
+
+def json_object_globalagg(partial: Column, order: Column | None = None) -> Column:
+    """Merge JSON objects of partial aggregates; of equal keys the last one's value stays."""
+    by = order if order is not None else partial
+    pairs = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(by.alias("o"), partial.alias("p")))), lambda e: F.transform(F.json_object_keys(e["p"]), lambda k: F.struct(k.alias("k"), F.to_json(F.try_variant_get(F.parse_json(e["p"]), F.lit("$"), "map<string,variant>")[k]).alias("v")))))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["k"] == e["k"]))
+    one = lambda e: F.concat(_json(F.struct(e["k"].alias("x"))), F.lit(":"), F.coalesce(e["v"], F.lit("null")))
+    return F.when(F.count(partial) > 0, F.concat(F.lit("{"), F.array_join(F.transform(last, one), ","), F.lit("}")))
 
 
 def checksum(*xs: Column) -> Column:

@@ -19,14 +19,14 @@ ALIASES = {
     "+": (numbers, "add"), "-": (numbers, "sub"), "*": (numbers, "multiply"), "/": (numbers, "divide"), "DIV": (numbers, "int_divide"), "%": (numbers, "mod"), "POWER": (numbers, "pow_"), "ATAN2": (numbers, "atan"),
     "=": (logic, "eq"), "<>": (logic, "ne"), "!=": (logic, "ne"), "<=>": (logic, "null_safe_eq"), "!": (logic, "not_"), "&&": (logic, "and_"), "||": (logic, "or_"), "RLIKE": (logic, "regexp"), "NOT REGEXP": (logic, "not_regexp"), "NOT LIKE": (logic, "not_like"), "ROW": (logic, "row_eq"),
     "CHARACTER_LENGTH": (strings, "char_length"), "LCASE": (strings, "lower"), "UCASE": (strings, "upper"), "MID": (strings, "substring"), "SUBSTR": (strings, "substring"), "POSITION": (strings, "locate"), "SOUNDS LIKE": (strings, "sounds_like"), "CONVERT": (strings, "convert_using"),
-    "TO_DAYS": (dates, "day_number"), "TIMESTAMPADD": (dates, "timestamp_add"), "TIMESTAMPDIFF": (dates, "timestamp_diff"), "TIMESTAMP": (dates, "addtime"), "YEAR TYPE": (dates, "year_of"),
+    "TO_DAYS": (dates, "day_number"), "TIMESTAMPADD": (dates, "timestamp_add"), "TIMESTAMPDIFF": (dates, "timestamp_diff"), "YEAR TYPE": (dates, "year_of"),
     "->": (documents, "json_extract"), "->>": (documents, "json_unquote_extract"), "SHA": (documents, "sha1"),
     "STDDEV": (aggregates, "std"), "STDDEV_POP": (aggregates, "std"), "HASHCHECK": (aggregates, "hashcheck"), "CHECK_SUM": (aggregates, "checksum"), "CHECK_SUM_MERGE": (aggregates, "checksum_merge"), "HYPERLOGLOG": (aggregates, "hyperloglog"),
     "SCHEMA": (session, "database"), "USER": (session, "current_user"), "CUR_TIME_ZONE": (session, "current_time_zone"),
 }
 #: SQL names with Spark's own meaning, and its names for them.
 BUILTIN = {
-    "CEILING": "ceil", "CURDATE": "current_date", "CURTIME": "now", "DATE": "to_date", "DAY": "dayofmonth", "LOCALTIME": "localtimestamp", "SYSDATE": "now", "IFNULL": "ifnull", "NULLIF": "nullif", "IF": "when", "CASE": "when",
+    "CEILING": "ceil", "CURDATE": "current_date", "DATE": "to_date", "DAY": "dayofmonth", "LOCALTIME": "localtimestamp", "SYSDATE": "now", "IFNULL": "ifnull", "NULLIF": "nullif",
     "STDDEV_SAMP": "stddev_samp", "VAR_SAMP": "var_samp", "VAR_POP": "var_pop", "COVAR_POP": "covar_pop", "COVAR_SAMP": "covar_samp",
 } | {
     n.upper(): n

@@ -154,12 +154,30 @@ def maketime(h: Column, m: Column, s: Column) -> Column:
     return F.when(fine, sec_to_time(F.when(h < 0, h * 3600 - m * 60 - s).otherwise(h * 3600 + m * 60 + s)))
 
 
+def _micros(time_text: Column) -> Column:
+    """Microseconds of a [-]H:MM[:SS[.ffffff]] text."""
+    parts = F.split(F.regexp_replace(time_text, "^-", ""), ":")
+    seconds = F.coalesce(F.get(parts, F.lit(2)), F.lit("0")).cast("decimal(20,6)")
+    size = (F.get(parts, F.lit(0)).cast("long") * 3600 + F.coalesce(F.get(parts, F.lit(1)), F.lit("0")).cast("long") * 60) * 1_000_000 + (seconds * 1_000_000).cast("long")
+    return F.when(time_text.startswith("-"), -size).otherwise(size)
+
+
 def addtime(ts: Column, time_text: Column) -> Column:
-    return F.timestamp_seconds(F.unix_seconds(ts.cast("timestamp")) + time_to_sec(time_text))
+    return F.timestamp_micros(F.unix_micros(ts.cast("timestamp")) + _micros(time_text))
 
 
 def subtime(ts: Column, time_text: Column) -> Column:
-    return F.timestamp_seconds(F.unix_seconds(ts.cast("timestamp")) - time_to_sec(time_text))
+    return F.timestamp_micros(F.unix_micros(ts.cast("timestamp")) - _micros(time_text))
+
+
+def timestamp(ts: Column, time_text: Column | None = None) -> Column:
+    """TIMESTAMP(x) and TIMESTAMP(x, time)."""
+    return ts.cast("timestamp") if time_text is None else addtime(ts, time_text)
+
+
+def curtime() -> Column:
+    """The time of day as text."""
+    return time(F.now())
 
 
 def date_add(ts: Column, n: Column | int, unit: str) -> Column:

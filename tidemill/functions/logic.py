@@ -44,6 +44,19 @@ def xor_(a: Column, b: Column) -> Column:
     return flag((a != 0) != (b != 0))
 
 
+def if_(condition: Column, yes: Column, no: Column) -> Column:
+    """IF: a condition that is NULL or zero gives the last argument."""
+    return F.when(F.coalesce(truthy(condition), F.lit(False)), yes).otherwise(no)
+
+
+def case(*args: Column) -> Column:
+    """CASE WHEN: pairs of condition and value, and perhaps a value for the rest."""
+    out = F.when(truthy(args[0]), args[1])
+    for condition, value in zip(args[2:-1:2], args[3::2]):
+        out = out.when(truthy(condition), value)
+    return out.otherwise(args[-1]) if len(args) % 2 else out
+
+
 def is_true(x: Column) -> Column:
     return flag(F.coalesce(truthy(x), F.lit(False)))
 

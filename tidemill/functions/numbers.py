@@ -25,16 +25,14 @@ def multiply(a: Column, b: Column) -> Column:
     return a * b
 
 
-def divide(a: Column, b: Column, precision: int = 38, scale: int = 10) -> Column:
-    """Exact division; x / 0 is NULL."""
-    kind = f"decimal({precision // 2},{scale // 2})"
-    return F.try_divide(a.cast(kind), b.cast(kind))
+def divide(a: Column, b: Column) -> Column:
+    """Division of the operands as they are, with four digits more than the dividend at least; x / 0 is NULL."""
+    return F.try_divide(a * F.lit(Decimal("1.0000")), b)
 
 
 def int_divide(a: Column, b: Column) -> Column:
     """DIV: quotient cut towards zero; NULL for a zero divisor."""
-    divisor = F.nullif(b, F.lit(0))
-    return F.floor(F.abs(a) / F.abs(divisor)).cast("long") * F.sign(a).cast("int") * F.sign(divisor).cast("int")
+    return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
 def mod(a: Column, b: Column) -> Column:

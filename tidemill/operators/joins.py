@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Strategy names and the hints they stand for.
 STRATEGIES = {
-    "broadcast": "broadcast", "bka": "broadcast", "merge": "merge", "hash": "shuffle_hash",
+    "broadcast": "broadcast", "bka": "shuffle_hash", "merge": "merge", "hash": "shuffle_hash",
     "nested_loop": "shuffle_replicate_nl", "auto": None,
 }
 

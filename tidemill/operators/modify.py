@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,18 @@ def delete(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(F.coalesce(~condition, F.lit(True)))
 
 
-def replace(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """REPLACE INTO: new rows take the place of those with the same keys."""
-    return df.join(rows.select(*keys), keys, "left_anti").select(*df.columns).unionByName(rows)
+def replace(df: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """REPLACE INTO: new rows take the place of those with the same keys.
+
+    Of new rows with one key the last stays: the greatest by ``order``, or by all other
+    columns. A key with a NULL is like no other.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    last = F.max_by(F.struct(*rest), F.struct(*([order] if order else []), *rest)) if rest else F.lit(None)
+    newest = rows.filter(known).groupBy(*keys).agg(last.alias("_last")).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
+    new = newest.unionByName(rows.filter(~known).select(*df.columns))
+    return df.join(rows.select(*keys).filter(known), keys, "left_anti").select(*df.columns).unionByName(new)
 
 
 def upsert(df: DataFrame, rows: DataFrame, keys: list[str], **values: Column) -> DataFrame:

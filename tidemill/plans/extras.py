@@ -195,3 +195,24 @@ mysql(
     "SELECT n_nationkey, CASE n_regionkey WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS e, CASE n_regionkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS f, CASE WHEN n_nationkey <> 3 THEN greatest(n_regionkey, n_nationkey) END AS g, n_nationkey::BIGINT AS s, n_nationkey::VARCHAR AS c, n_name AS u, n_nationkey % nullif(n_regionkey, 0) AS m, NULL::DOUBLE AS q FROM nation",
 )
 mysql("dialect_dual", "region", "SELECT 1 + 1 AS two, LENGTH('é') AS bytes FROM DUAL", "SELECT 2 AS two, 2 AS bytes")
+
+mysql(
+    "dialect_zero_division", "nation",
+    "SELECT n_nationkey, n_nationkey / n_regionkey AS q, n_nationkey * 2 / 0 AS z, n_nationkey % n_regionkey AS m, n_nationkey DIV n_regionkey AS d, 9007199254740993 DIV 1 AS big FROM nation WHERE n_nationkey % 3 = 1",
+    "SELECT n_nationkey, n_nationkey::DOUBLE / nullif(n_regionkey, 0) AS q, NULL::DOUBLE AS z, n_nationkey % nullif(n_regionkey, 0) AS m, (n_nationkey // nullif(n_regionkey, 0))::BIGINT AS d, 9007199254740993::BIGINT AS big FROM nation WHERE n_nationkey % 3 = 1",
+)
+mysql(
+    "dialect_logic", "nation",
+    "SELECT n_nationkey, n_nationkey || 0 AS o, n_nationkey && n_regionkey AS a, 2 XOR 1 AS x, n_nationkey = 1 XOR n_regionkey AS y, !n_regionkey AS n, IF(n_regionkey, 'yes', 'no') AS i, ~1 AS b, n_nationkey BETWEEN 3 AND 9 && n_regionkey > 1 AS w FROM nation",
+    "SELECT n_nationkey, n_nationkey <> 0 AS o, n_nationkey <> 0 AND n_regionkey <> 0 AS a, FALSE AS x, (n_nationkey = 1) <> (n_regionkey <> 0) AS y, n_regionkey = 0 AS n, CASE WHEN n_regionkey <> 0 THEN 'yes' ELSE 'no' END AS i, 18446744073709551614::DECIMAL(20,0) AS b, n_nationkey BETWEEN 3 AND 9 AND n_regionkey > 1 AS w FROM nation",
+)
+mysql(
+    "dialect_text", "nation",
+    "SELECT n_nationkey, ORD(n_name) AS o, ORD('é') AS e, MAKE_SET(n_regionkey, 'a', 'b', 'c') AS m, INSERT(n_name, 2, 3, '--') AS i, BIN(n_nationkey) AS b, OCT(n_nationkey) AS t FROM nation",
+    "SELECT n_nationkey, ascii(n_name)::BIGINT AS o, 50089::BIGINT AS e, concat_ws(',', CASE WHEN n_regionkey & 1 > 0 THEN 'a' END, CASE WHEN n_regionkey & 2 > 0 THEN 'b' END, CASE WHEN n_regionkey & 4 > 0 THEN 'c' END) AS m, left(n_name, 1) || '--' || substr(n_name, 5) AS i, bin(n_nationkey) AS b, format('{:o}', n_nationkey) AS t FROM nation",
+)
+mysql(
+    "dialect_times", "orders",
+    "SELECT o_orderkey, TIME_TO_SEC('22:23:00') AS a, SEC_TO_TIME(o_custkey) AS b, PERIOD_DIFF(200802, 0703) AS c, PERIOD_ADD(0801, 2) AS d, MAKEDATE(2011, 32) AS e, WEEK(o_orderdate, 3) AS w FROM orders",
+    "SELECT o_orderkey, 80580::BIGINT AS a, lpad((o_custkey // 3600)::VARCHAR, 2, '0') || ':' || lpad((o_custkey // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((o_custkey % 60)::VARCHAR, 2, '0') AS b, 11::BIGINT AS c, 200803::BIGINT AS d, DATE '2011-02-01' AS e, week(o_orderdate)::INTEGER AS w FROM orders",
+)

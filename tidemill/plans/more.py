@@ -38,6 +38,14 @@ def modify_upsert(spark, sf):
     return modify.upsert(n, rows, ["n_nationkey"], n_regionkey=C("n_regionkey") + C("new_n_regionkey"))
 
 
+@query("modify_replace_repeated", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'last' ELSE n_name END AS n_name FROM nation")
+def modify_replace_repeated(spark, sf):
+    """Of new rows with one key the last stays."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    rows = spark.createDataFrame([(3, "first", 1), (3, "last", 2), (3, "early", 0)], "n_nationkey int, n_name string, at int")
+    return modify.replace(n.withColumn("at", F.lit(0)), rows, ["n_nationkey"], "at").select("n_nationkey", "n_name")
+
+
 @query("sequence_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) + 999 AS id FROM orders")
 def sequence_numbers(spark, sf):
     return modify.numbered(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "id", "o_totalprice", "o_orderkey", start=1000).select("o_orderkey", "id")

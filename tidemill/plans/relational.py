@@ -348,6 +348,28 @@ def agg_json(spark, sf):
     return table(spark, sf, "nation").groupBy("n_regionkey").agg(A.json_arrayagg(F.when(k % 2 != 0, k), k).alias("arr"), A.json_objectagg(k, F.col("n_name"), k).alias("obj"))
 
 
+@query(
+    "agg_json_typed",
+    "SELECT n_regionkey, '{' || string_agg('\"' || k || '\":' || v, ',' ORDER BY v) || '}' AS obj, string_agg(k, ',' ORDER BY v) AS names FROM (SELECT n_regionkey, left(n_name, 1) AS k, max(n_nationkey) AS v FROM nation GROUP BY ALL) GROUP BY n_regionkey",
+)
+def agg_json_typed(spark, sf):
+    """Numbers stay numbers, the last of equal keys wins; distinct texts in the order of another column."""
+    k, v = F.left("n_name", F.lit(1)), F.col("n_nationkey")
+    last = table(spark, sf, "nation").groupBy("n_regionkey", k.alias("k")).agg(F.max("n_nationkey").alias("m"))
+    names = last.groupBy("n_regionkey").agg(A.group_concat(F.col("k"), distinct=True, order=F.col("m")).alias("names"))
+    return table(spark, sf, "nation").groupBy("n_regionkey").agg(A.json_objectagg(k, v, v).alias("obj")).join(names, "n_regionkey")
+
+
+@query("agg_json_global", "SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS total, 25 AS members FROM nation")
+def agg_json_global(spark, sf):
+    """Partial JSON aggregates by region, merged."""
+    k = F.col("n_nationkey")
+    part = table(spark, sf, "nation").groupBy("n_regionkey").agg(A.json_arrayagg(k, k).alias("a"), A.json_objectagg(F.col("n_name"), k, k).alias("o"))
+    whole = part.agg(A.json_array_globalagg(F.col("a")).alias("a"), A.json_object_globalagg(F.col("o")).alias("o"))
+    values = F.from_json("a", "array<bigint>")
+    return whole.select(F.size(values).cast("long").alias("n"), F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y).alias("total"), F.size(F.json_object_keys("o")).alias("members"))
+
+
 @query("agg_hll_exact_bound", "SELECT l_returnflag, TRUE AS near FROM lineitem GROUP BY l_returnflag")
 def agg_hll_exact_bound(spark, sf):
     """Sketched distinct counts lie within five per cent of the exact ones."""

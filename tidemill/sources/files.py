@@ -7,8 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Storage engines and the Hadoop schemes that stand for them.
-ENGINES = {"LOCAL_DISK": "file://", "EXTERNAL_DISK": "file://", "NFS": "file://", "OBJECT_STORE": "s3a://", "ABS": "abfss://", "MEMORY": None}
+#: Fixed values of the dialect: storage engines of files, and the Hadoop schemes that stand for them.
+ENGINES = {"CSV": "file://", "LOCAL_DISK": "file://", "EXTERNAL_DISK": "file://", "S3": "s3a://", "ABS": "abfss://", "OSS": "oss://", "NFS": "file://"}
+
+
+def read_engine(spark: SparkSession, engine: str, path: str, schema: str | None = None) -> DataFrame:
+    """A table of a file engine: delimited text for CSV, else columnar; a path with a scheme is taken as it is."""
+    name = engine.upper()
+    if name not in ENGINES:
+        raise ValueError(f"unknown engine name: {engine}")
+    where = path if "://" in path or path.startswith("file:") else ENGINES[name] + path
+    return read_delimited(spark, where, schema) if name == "CSV" else read_columnar(spark, where)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -17,6 +26,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
         base = tempfile.mkdtemp(prefix="tidemill-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
