@@ -36,8 +36,8 @@ NAME = "op8_toxicity"
 SQL = None
 #: Sampled labelled texts, on average.
 TOXIC, CLEAN = 1500, 3000
-#: Entries of the lexicon at most, and of exception phrases.
-ENTRIES, EXCEPTIONS = 2000, 500
+#: Entries of the lexicon at most, those of the greatest weight.
+ENTRIES = 2000
 #: How much of the number of tried stems the evidence for one must outweigh.
 CAUTION = 1.0
 #: The lexicon has seen the clean texts of the sample, so they understate chance matches by about this factor.
@@ -236,7 +236,7 @@ def _exceptions(lexicon: Lexicon, toxic: list[str], clean: list[str]) -> list[st
     if good:
         for text in toxic:
             bad |= phrases(text)
-    return sorted(p for p, n in good.most_common() if n >= 2 and p not in bad)[:EXCEPTIONS]
+    return sorted(p for p, n in good.items() if n >= 2 and p not in bad)  # bounded by the sample of clean texts
 
 
 def _logistic(rows: list[tuple[float, int, int, float, float]], ridge: float = 0.05) -> tuple[float, float, float]:
@@ -270,7 +270,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Lexicon:
 
 def toxicity(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score, n_hits, n_words of every whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(lexicon))  # at most ENTRIES + EXCEPTIONS strings
+    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(lexicon))  # at most ENTRIES strings, and phrases of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = cloudpickle.loads(shared.value)
