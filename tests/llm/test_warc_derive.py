@@ -74,3 +74,16 @@ def test_defined_cases(spark):
     links = meta["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Links"]
     assert links == [{"tag": "a", "attribute": "href", "url": "/x?a=1&b=2"}]
     assert op.warc_derive(df.limit(0)).count() == 0
+
+
+def test_odd_mark_up_takes_linear_time():
+    import time
+
+    for page in ('<a "' * 20_000, "<title>" * 20_000, "<a b=" * 20_000, "<!" * 20_000, "<script>" * 20_000, "<a " + "x" * 200_000, "a='" * 20_000, "<noscript>" * 20_000):
+        began = time.thread_time()
+        op.derive(1, "u", page)
+        assert time.thread_time() - began < 2
+    page = "<head><title>T &amp; t</title><meta name=x content='a>b'><link href=/c></head><p>a <b>bold</b> < 5<script>x='<p>no'</script><style>y</style><noscript>n<img src=i></noscript> end <a title='>' href=\"/q\">l</a>"
+    seen = op.Page(page)
+    assert seen.plain_text() == "a bold < 5 end l" and seen.title == "T & t" and seen.metas == [{"name": "x", "content": "a>b"}]
+    assert [x["url"] for x in seen.links] == ["/c", "i", "/q"]

@@ -40,25 +40,116 @@ DATE = "1970-01-01T00:00:00Z"
 SOFTWARE = "tidemill"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tidemill:warc")
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?:!doctype|\?)[^>]*>", re.S | re.I)
-_BREAK = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>",
-    re.I,
+#: Elements that end a line of text.
+_BREAK = frozenset(
+    "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
 )
-_TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+#: Elements whose content is not text of the page; that of the first two is no mark-up either.
+_RAW, _HIDDEN = frozenset(["script", "style"]), frozenset(["script", "style", "noscript", "template", "svg"])
+_LINKS = frozenset(["a", "img", "link", "script", "iframe", "area"])
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+_SPECIAL = re.compile("[\"'>]")
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<(a|img|link|script|iframe|area)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_META = re.compile(r"<meta\b([^>]*)>", re.I)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+class Page:
+    """Text, title, links and metas of a page by one scan; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.low = page, page.translate(_LOWER)
+        self.known: dict[int, int] = {}  # quote that opens outside of others: end of its tag
+        self.last: int | None = None  # the last quote or end of a tag
+        self.closed: dict[str, int] = {}  # name of an element: its next closing tag
+        self.text: list[str] = []
+        self.links: list[dict[str, str]] = []
+        self.metas: list[dict[str, str]] = []
+        self.title: str | None = None
+        self._scan()
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, outside of quotes; -1 if there is none. Quotes that were followed once are remembered."""
+        if self.last is None:
+            self.last = max(map(self.page.rfind, "\"'>"))
+        if at > self.last:
+            return -1
+        passed = []
+        while (m := _SPECIAL.search(self.page, at)) and m[0] != ">" and m.start() not in self.known:
+            passed.append(m.start())
+            close = self.page.find(m[0], m.start() + 1)
+            if close < 0:
+                m = None
+                break
+            at = close + 1
+        end = -1 if m is None else m.start() if m[0] == ">" else self.known[m.start()]
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+    def _closing(self, name: str, at: int) -> int:
+        """Place of an element's closing tag; the end of the page if there is none. The scan goes forward, so a place holds until it is passed."""
+        if self.closed.get(name, -1) < at:
+            k = self.low.find(f"</{name}", at)
+            self.closed[name] = len(self.page) if k < 0 else k
+        return self.closed[name]
+
+    def _scan(self) -> None:
+        page, low, at, shown, head = self.page, self.low, 0, 0, False
+        while True:
+            j = page.find("<", at)
+            stop = len(page) if j < 0 else j
+            if at >= shown:
+                self.text.append(page[at:stop])
+            if j < 0:
+                return
+            if page.startswith("<!--", j):
+                k = page.find("-->", j + 4)
+                at = len(page) if k < 0 else k + 3
+                continue
+            if low.startswith("<!doctype", j) or page.startswith("<?", j):
+                k = page.find(">", j)
+                at = len(page) if k < 0 else k + 1
+                continue
+            m = _NAME.match(page, j)
+            end = self._end(m.end()) if m else -1
+            if end < 0:  # no tag
+                if at >= shown or j >= shown:
+                    self.text.append("<")
+                at = j + 1
+                continue
+            name, at = m[1].translate(_LOWER), end + 1
+            if name in _BREAK and j >= shown:
+                self.text.append("\n")
+            if page[j + 1] != "/":
+                at = self._opened(name, page[m.end() : end], at)
+                if name in _HIDDEN or name == "head" and not head:
+                    close = self._closing(name, at)
+                    if name != "head" or close < len(page):
+                        head = head or name == "head"
+                        shown = max(shown, close)
+
+    def _opened(self, name: str, inside: str, at: int) -> int:
+        """Take what an opening tag says; where the scan goes on."""
+        if name in _LINKS or name == "meta":
+            pairs = [(k.translate(_LOWER), html.unescape(a or b or c)) for k, a, b, c in _ATTRIBUTE.findall(inside)]
+            if name == "meta":
+                self.metas.append(dict(pairs))
+            for k, v in pairs:
+                if name != "meta" and k in ("href", "src"):
+                    self.links.append({"tag": name, "attribute": k, "url": v})
+                    break
+        if name == "title" and self.title is None and (close := self._closing(name, at)) < len(self.page):
+            self.title = html.unescape(self.page[at:close]).strip()
+        return self._closing(name, at) if name in _RAW else at
+
+    def plain_text(self) -> str:
+        """Visible text: block elements end lines, inline mark-up vanishes, entities are decoded."""
+        return _LINES.sub("\n", _BLANK.sub(" ", html.unescape("".join(self.text)))).strip()
 
 
 def plain_text(page: str) -> str:
-    """Visible text: block elements end lines, inline mark-up vanishes, entities are decoded."""
-    body = re.sub(r"<head\b.*?</head\s*>", "\n", page, count=1, flags=re.S | re.I)
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", body)))
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
+    return Page(page).plain_text()
 
 
 def digest(data: bytes) -> str:
@@ -88,13 +179,8 @@ def derive(page_id: int | None, url: str | None, page: str | None, date: str = D
     payload = page.encode("utf-8", "surrogatepass")
     source, response = http_block(payload)
     refers, payload_digest = record_id(page_id, url, payload, "response"), digest(payload)
-    links = [
-        {"tag": tag.lower(), "attribute": attribute.lower(), "url": html.unescape(a or b or c)}
-        for tag, attribute, a, b, c in _LINK.findall(re.sub(r"<!--.*?(?:-->|\Z)", "", page, flags=re.S))
-    ]
-    metas = [{k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m)} for m in _META.findall(page)]
-    title = _TITLE.search(page)
-    text = plain_text(page)
+    seen = Page(page)
+    links, text = seen.links, seen.plain_text()
     envelope = {
         "Envelope": {
             "WARC-Header-Metadata": {
@@ -107,7 +193,7 @@ def derive(page_id: int | None, url: str | None, page: str | None, date: str = D
                     "Response-Message": {"Status": "200", "Version": "HTTP/1.1", "Reason": "OK"},
                     "Headers": source,
                     "HTML-Metadata": {
-                        "Head": {"Title": html.unescape(title[1]).strip() if title else None, "Metas": metas},
+                        "Head": {"Title": seen.title, "Metas": seen.metas},
                         "Links": links,
                     },
                     "Entity-Digest": payload_digest, "Entity-Length": str(len(payload)),
