@@ -20,6 +20,33 @@ def test_lexicon_and_exceptions():
     assert lex.score("what a 5cum he is")[1] == 1
 
 
+def test_dense_entries():
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    other = lambda i: " ".join(f"x{name(i + 37 * j)}" for j in range(60))
+    toxic = [f"{other(i)} grumel{name(i)} {name(i)} grumel{name(3 * i)}" for i in range(40)]
+    clean = [f"{other(i + 7)} grumel{name(i)} {other(i)}" for i in range(200)]
+    lex = op.learn([op.folded(t) for t in toxic], [op.folded(t) for t in clean], 4.0)
+    assert any(k.startswith(" grum") for k in lex.dense)
+    assert lex.score(f"{other(5)} Grumelbu grumelba")[0] >= 0.3 > lex.score(f"{other(5)} grumelbu")[0]
+    assert lex.score("grumelbu")[1] == 0 and lex.score(other(5) * 5 + " grumelbu grumelba")[1] == 0
+
+
+def test_hits_match_a_plain_scan():
+    rng = np.random.default_rng(4)
+    words = ["vile", "vilest", "mean", "meaning", "pond", "the", "of"]
+    lex = op.Lexicon({" vile ": 2.0, " vil": 1.0, " mean": 3.0, " mean ": 4.0}, [" pond vile "], (0.0, 1.0, 0.0), frozenset([" mean"]))
+    for _ in range(300):
+        text = op.folded(" ".join(rng.choice(words, rng.integers(0, 30))))
+        held = text.split()
+        repeated = sum(w.startswith("mean") for w in held)
+        expected = []
+        for i, w in enumerate(held):
+            found = [v for k, v in lex.weights.items() if f" {w} ".startswith(k) and (k != " mean" or repeated > 1)]
+            if found and not (i and held[i - 1 : i + 1] == ["pond", "vile"]):
+                expected.append(max(found))
+        assert lex.hits(text) == (sum(expected), len(expected), len(held))
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{path}/labels.parquet")
@@ -30,7 +57,7 @@ def test_held_out_accuracy(spark):
     apart = [r for r in got if r.held_out]
     hits = [r for r in apart if r.predicted]
     assert np.mean([r.toxic for r in hits]) > 0.95
-    assert np.mean([r.predicted for r in apart if r.toxic]) > 0.8
+    assert np.mean([r.predicted for r in apart if r.toxic]) > 0.9
 
 
 def test_defined_cases(spark):

@@ -3,7 +3,9 @@
 Texts are folded (case, accents, homoglyphs, digit and symbol substitutions), an
 Aho-Corasick automaton finds the lexicon's stems and words at word starts, matches
 inside an exception phrase don't count, and the summed weights, alone and normalised
-by the number of words, give a probability through a small logistic model.
+by the number of words, give a probability through a small logistic model. Stems that
+other texts use now and then are dense entries: they count in a text where they are
+repeated and make up ``DENSE`` of a hundred words.
 
 The lexicon, its weights, the exception phrases and the two coefficients are learnt
 from a bounded sample of labelled rows: about ``TOXIC`` toxic and ``CLEAN`` other
@@ -21,7 +23,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ ENTRIES = 2000
 CAUTION = 1.0
 #: The lexicon has seen the clean texts of the sample, so they understate chance matches by about this factor.
 OPTIMISM = 4.0
+#: Occurrences in a hundred words from which a dense entry counts.
+DENSE = 1.0
 #: Letters of a stem at least and at most.
 SHORTEST, LONGEST = 3, 12
 
@@ -90,10 +94,10 @@ def folded(text: str) -> str:
 
 
 class Lexicon:
-    """Patterns with weights, exception phrases and the logistic model."""
+    """Patterns with weights, those of them that must be dense, exception phrases and the logistic model."""
 
-    def __init__(self, weights: dict[str, float], exceptions: list[str], coefficients: tuple[float, float, float]):
-        self.weights, self.exceptions, self.coefficients = weights, exceptions, coefficients
+    def __init__(self, weights: dict[str, float], exceptions: list[str], coefficients: tuple[float, float, float], dense: frozenset[str] = frozenset()):
+        self.weights, self.exceptions, self.coefficients, self.dense = weights, exceptions, coefficients, dense
         self._automaton = None
 
     def __getstate__(self):
@@ -105,9 +109,9 @@ class Lexicon:
 
             found = ahocorasick.Automaton()
             for pattern, weight in self.weights.items():
-                found.add_word(pattern, (len(pattern), weight))
+                found.add_word(pattern, (len(pattern), weight, pattern if pattern in self.dense else None))
             for phrase in self.exceptions:
-                found.add_word(phrase, (len(phrase), 0.0))
+                found.add_word(phrase, (len(phrase), 0.0, None))
             found.make_automaton()
             self._automaton = found
         return self._automaton
@@ -119,12 +123,19 @@ class Lexicon:
             return 0.0, 0, max(words, 0)
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
-        for end, (size, weight) in self.automaton().iter(text):
+        repeated: dict[str, list[int]] = {}
+        for end, (size, weight, dense) in self.automaton().iter(text):
             start = end - size + 1
-            if weight:
+            if dense:
+                repeated.setdefault(dense, []).append(start)
+            elif weight:
                 best[start] = max(best.get(start, 0.0), weight)
             else:
                 spared.append((start, end))
+        for pattern, starts in repeated.items():
+            if is_dense(len(starts), words):
+                for start in starts:
+                    best[start] = max(best.get(start, 0.0), self.weights[pattern])
         if spared:
             best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
         return sum(best.values()), len(best), max(words, 0)
@@ -137,6 +148,23 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total) + c * math.log1p(100 * total / max(words, 1)))))), n, words
 
 
+def is_dense(n: int, words: int) -> bool:
+    return n > 1 and 100 * n >= DENSE * words
+
+
+def _dense_keys(words: list[str]) -> set[str]:
+    """Stems and whole words that are dense in a text."""
+    held = {w: n for w, n in Counter(words).items() if len(w) >= SHORTEST}
+    out = {f" {w} " for w, n in held.items() if is_dense(n, len(words))}
+    for size in range(SHORTEST, LONGEST + 1):  # a longer stem is no denser
+        counted: Counter[str] = Counter()
+        for w, n in held.items():
+            counted[w[:size]] += n
+        held = {w: n for w, n in held.items() if len(w) > size and is_dense(counted[w[:size]], len(words))}
+        out.update(f" {k}" for k, n in counted.items() if is_dense(n, len(words)))
+    return out
+
+
 def _keys(words: set[str]) -> set[str]:
     """Stems and whole words, with the space that starts them (and ends a whole word)."""
     out = {f" {w} " for w in words if len(w) >= SHORTEST}
@@ -149,16 +177,36 @@ def learn(toxic: list[str], clean: list[str], clean_weight: float = 1.0) -> Lexi
     """Lexicon from folded texts; ``clean_weight`` is how many clean texts each one stands for."""
     if not toxic or not clean:
         return Lexicon({}, [], (0.0, 0.0, 0.0))
+    least = max(2, round(0.002 * len(toxic)))
+    chosen = _choose(*_counted(toxic, clean, lambda words: _keys(set(words)), least), len(toxic), len(clean), toxic)
+    dense = _choose(*_counted(toxic, clean, _dense_keys, least), len(toxic), len(clean), toxic)
+    dense = {k: w for k, w in dense.items() if not any(k[:n] in chosen for n in range(SHORTEST + 1, len(k) + 1))}
+    chosen = dict(sorted((chosen | dense).items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+    dense = frozenset(dense)
+    bare = Lexicon(chosen, [], (0.0, 1.0, 0.0), dense)
+    exceptions = _exceptions(bare, toxic, clean)
+    lexicon = Lexicon(chosen, exceptions, (0.0, 1.0, 0.0), dense)
+    rows = [(*lexicon.hits(t), 1.0, 1.0) for t in toxic] + [(*lexicon.hits(t), 0.0, clean_weight) for t in clean]
+    lexicon.coefficients = _logistic(rows)
+    return lexicon
+
+
+def _counted(toxic: list[str], clean: list[str], keys: Callable[[list[str]], set[str]], least: int) -> tuple[Counter[str], Counter[str]]:
+    """Number of toxic and of clean texts a key; those of fewer toxic ones are left out."""
     a: Counter[str] = Counter()
     for text in toxic:
-        a.update(_keys(set(text.split())))
-    least = max(2, round(0.002 * len(toxic)))
+        a.update(keys(text.split()))
     a = Counter({k: n for k, n in a.items() if n >= least})
     b: Counter[str] = Counter()
     for text in clean:
-        b.update(k for k in _keys(set(text.split())) if k in a)
-    weight = {k: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((b[k] + 0.5) / (len(clean) + 1)) for k, n in a.items()}
-    share = len(toxic) / (len(toxic) + len(clean))
+        b.update(k for k in keys(text.split()) if k in a)
+    return a, b
+
+
+def _choose(a: Counter[str], b: Counter[str], n_toxic: int, n_clean: int, toxic: list[str]) -> dict[str, float]:
+    """Entries that tell toxic texts from others, and their weights."""
+    weight = {k: math.log((n + 0.5) / (n_toxic + 1)) - math.log((b[k] + 0.5) / (n_clean + 1)) for k, n in a.items()}
+    share = n_toxic / (n_toxic + n_clean)
 
     def sure(k: str, found: int | None = None) -> bool:
         """Chernoff bound: no stem of chance is as lopsided, over all the stems that are tried."""
@@ -182,21 +230,14 @@ def learn(toxic: list[str], clean: list[str], clean_weight: float = 1.0) -> Lexi
             if not longer:
                 break
             k = max(longer, key=lambda c: (weight[c], c))
-        rate = (a[k] / len(toxic)) / (a[k] / len(toxic) + b[k] / max(len(clean), 1))
+        rate = (a[k] / n_toxic) / (a[k] / n_toxic + b[k] / max(n_clean, 1))
         if weight[k] >= 2.5 and rate >= 0.97 and sure(k):
             chosen[k] = weight[k]
     for k in sorted(a):  # whole words of which the stem did not qualify
-        if k.endswith(" ") and weight[k] >= 3.5 and b[k] * 200 <= len(clean) and sure(k) and not any(k[:n] in chosen for n in range(SHORTEST + 1, len(k) + 1)):
+        if k.endswith(" ") and weight[k] >= 3.5 and b[k] * 200 <= n_clean and sure(k) and not any(k[:n] in chosen for n in range(SHORTEST + 1, len(k) + 1)):
             chosen[k] = weight[k]
     contexts = _contexts(chosen, toxic)
-    chosen = {k: w for k, w in chosen.items() if sure(k, min(a[k], contexts.get(k, 0)))}
-    chosen = dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
-    bare = Lexicon(chosen, [], (0.0, 1.0, 0.0))
-    exceptions = _exceptions(bare, toxic, clean)
-    lexicon = Lexicon(chosen, exceptions, (0.0, 1.0, 0.0))
-    rows = [(*lexicon.hits(t), 1.0, 1.0) for t in toxic] + [(*lexicon.hits(t), 0.0, clean_weight) for t in clean]
-    lexicon.coefficients = _logistic(rows)
-    return lexicon
+    return {k: w for k, w in chosen.items() if sure(k, min(a[k], contexts.get(k, 0)))}
 
 
 def _contexts(chosen: dict[str, float], toxic: list[str], width: int = 12) -> dict[str, int]:
