@@ -27,3 +27,16 @@ def test_statements_are_split_outside_of_strings():
 def test_bad_text_is_refused():
     with pytest.raises(ValueError):
         dialect.rewrite("select \x01")
+
+
+def test_catalogue_names_answer_in_text(spark):
+    calls = {
+        "QUOTE('abc')": "'abc'", "MICROSECOND(TIMESTAMP'2020-01-01 00:00:00.123456')": 123456, "YEARWEEK(DATE'2020-01-01')": 201952, "TIME_FORMAT('10:20:30', '%H.%i')": "10.20",
+        "JSON_VALID('{')": 0, "GET_FORMAT('DATE', 'ISO')": "%Y-%m-%d", "TO_MONTHS(DATE'2020-01-01')": 24241, "SPECIAL_POW(2, 3)": 8.0, "FROM_BASE64('YQ==')": "a", "COT(1)": 0.6420926159343306,
+        "JSON_MERGE_PRESERVE('[1]', '[2]')": "[1, 2]", "JSON_CONTAINS('[1, 2]', '1')": 1, "WEEK(DATE'2008-02-20', 0)": 7, "WEEK(DATE'2008-02-20', 1)": 8, "TIMESTAMPDIFF(DAY, DATE'2020-01-01', DATE'2020-01-05')": 4,
+        "UNCOMPRESSED_LENGTH(COMPRESS('abc'))": 3, "BIN(1 + 4)": "101", "JSON_DEPTH('[1]') + 1": 3, "QUOTE(CONCAT('it', '\\'', 's'))": "'it\\'s'",
+    }
+    text = "SELECT " + ", ".join(f"{c} AS v{i}" for i, c in enumerate(calls))
+    assert list(dialect.run(spark, text).collect()[0]) == list(calls.values())
+    with pytest.raises(Exception, match="no_such_call"):
+        dialect.run(spark, "SELECT no_such_call(1)").collect()

@@ -194,6 +194,11 @@ mysql(
     "SELECT n_nationkey, ELT(n_regionkey, 'a', 'b') AS e, FIELD(n_regionkey, 3, 1) AS f, GREATEST(n_regionkey, NULLIF(n_nationkey, 3)) AS g, CAST(n_nationkey AS SIGNED) AS s, CAST(n_nationkey AS CHAR) AS c, CONVERT(n_name USING utf8mb4) AS u, MOD(n_nationkey, n_regionkey) AS m, SQRT(0 - n_nationkey - 1) AS q FROM nation",
     "SELECT n_nationkey, CASE n_regionkey WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS e, CASE n_regionkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS f, CASE WHEN n_nationkey <> 3 THEN greatest(n_regionkey, n_nationkey) END AS g, n_nationkey::BIGINT AS s, n_nationkey::VARCHAR AS c, n_name AS u, n_nationkey % nullif(n_regionkey, 0) AS m, NULL::DOUBLE AS q FROM nation",
 )
+mysql(
+    "dialect_catalogue", "orders",
+    "SELECT o_orderkey, WEEK(o_orderdate, 3) AS w, JSON_LENGTH('[1, 2]') AS l, JSON_TYPE('{}') AS t, JSON_DEPTH('[1, [2]]') AS d, JSON_MERGE_PATCH('{\"a\": 1}', '{\"a\": 2}') AS p, FORMAT(1234567.891, 2) AS f, SUBSTRING_INDEX(o_orderpriority, '-', 1) AS s, FIND_IN_SET(o_orderstatus, 'F,O,P') AS i, TO_SECONDS(o_orderdate) AS u, CRC32('x') AS c, MAKETIME(1, 2, 3) AS m, UNCOMPRESS(COMPRESS('ab')) = CAST('ab' AS BINARY) AS z FROM orders",
+    "SELECT o_orderkey, weekofyear(o_orderdate)::INTEGER AS w, 2::BIGINT AS l, 'OBJECT' AS t, 3::BIGINT AS d, '{\"a\": 2}' AS p, '1,234,567.89' AS f, split_part(o_orderpriority, '-', 1) AS s, list_position(['F', 'O', 'P'], o_orderstatus)::BIGINT AS i, (epoch(o_orderdate) + 719528 * 86400::BIGINT)::BIGINT AS u, 2363233923::BIGINT AS c, '01:02:03' AS m, TRUE AS z FROM orders",
+)
 mysql("dialect_dual", "region", "SELECT 1 + 1 AS two, LENGTH('é') AS bytes FROM DUAL", "SELECT 2 AS two, 2 AS bytes")
 
 mysql(
