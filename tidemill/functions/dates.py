@@ -315,3 +315,16 @@ def year_of(x: Column) -> Column:
 def zero_date(text: Column) -> Column:
     """A date text; zero dates and zero months or days become NULL."""
     return F.when(~text.rlike("^0000|-00(-|$|T| )"), text.try_cast("date"))
+
+
+def time_to_tso(ts: Column, zone: str | None = None) -> Column:
+    """Timestamp of the transaction clock: milliseconds since 1970 above 22 bits of a counter; parts of a second are dropped."""
+    text = F.substring(ts.cast("string"), 1, 19)
+    at = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")) if zone is None else F.try_to_timestamp(F.concat(text, F.lit(f" {zone}")), F.lit("yyyy-MM-dd HH:mm:ss VV"))
+    return F.shiftleft(F.unix_millis(at), 22)
+
+
+def tso_to_time(tso: Column, zone: str | None = None) -> Column:
+    """Local time of a timestamp of the transaction clock."""
+    at = F.timestamp_millis(F.shiftright(tso.cast("long"), 22)).cast("timestamp_ntz")
+    return at if zone is None else F.convert_timezone(F.current_timezone(), F.lit(zone), at)

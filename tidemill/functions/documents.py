@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -157,7 +158,37 @@ def json_array_append(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(lambda x, y: _dump([*(x if isinstance(x, list) else [x]), y]), a, b)
 
 
-json_append = json_array_append
+
+def _append_at(doc, path: str, value):
+    """Append where a path of members and positions leads; a path that leads nowhere changes nothing."""
+    steps = [m[1] or m[2] or int(m[3]) for m in re.finditer(r'\.(?:"([^"]*)"|(\w+))|\[(\d+)\]', path)]
+    root = [doc]
+    holder, at = root, 0
+    for step in steps:
+        inner = holder[at]
+        if isinstance(step, int) and not isinstance(inner, list):
+            if step:
+                return doc
+            continue  # a value that is no array is its own first member
+        if isinstance(step, int) and step >= len(inner) or isinstance(step, str) and (not isinstance(inner, dict) or step not in inner):
+            return doc
+        holder, at = inner, step
+    old = holder[at]
+    holder[at] = [*(old if isinstance(old, list) else [old]), value]
+    return root[0]
+
+
+@F.pandas_udf(T.StringType())
+def json_append(a: pd.Series, path: pd.Series, b: pd.Series) -> pd.Series:
+    """JSON_APPEND(document, path, JSON value)."""
+
+    def one(x, p, y):
+        try:
+            return None if x is None or p is None else _dump(_append_at(json.loads(x), p, None if y is None else json.loads(y)))
+        except ValueError:
+            return None
+
+    return pd.Series([one(x, p, y) for x, p, y in zip(a, path, b)], dtype=object)
 
 # --- hashes, encryption, UUIDs ----------------------------------------------------
 

@@ -199,6 +199,22 @@ mysql(
     "SELECT o_orderkey, WEEK(o_orderdate, 3) AS w, JSON_LENGTH('[1, 2]') AS l, JSON_TYPE('{}') AS t, JSON_DEPTH('[1, [2]]') AS d, JSON_MERGE_PATCH('{\"a\": 1}', '{\"a\": 2}') AS p, FORMAT(1234567.891, 2) AS f, SUBSTRING_INDEX(o_orderpriority, '-', 1) AS s, FIND_IN_SET(o_orderstatus, 'F,O,P') AS i, TO_SECONDS(o_orderdate) AS u, CRC32('x') AS c, MAKETIME(1, 2, 3) AS m, UNCOMPRESS(COMPRESS('ab')) = CAST('ab' AS BINARY) AS z FROM orders",
     "SELECT o_orderkey, weekofyear(o_orderdate)::INTEGER AS w, 2::BIGINT AS l, 'OBJECT' AS t, 3::BIGINT AS d, '{\"a\": 2}' AS p, '1,234,567.89' AS f, split_part(o_orderpriority, '-', 1) AS s, list_position(['F', 'O', 'P'], o_orderstatus)::BIGINT AS i, (epoch(o_orderdate) + 719528 * 86400::BIGINT)::BIGINT AS u, 2363233923::BIGINT AS c, '01:02:03' AS m, TRUE AS z FROM orders",
 )
+mysql(
+    "dialect_user_variables", "nation",
+    "SET @low = 3, @name = (SELECT max(n_name) FROM nation); SET @low = @low + 1; SELECT n_nationkey, @low AS low, @name AS top, @unset IS NULL AS u, 'a@low' AS s FROM nation WHERE n_nationkey > @low",
+    "SELECT n_nationkey, 4 AS low, (SELECT max(n_name) FROM nation) AS top, TRUE AS u, 'a@low' AS s FROM nation WHERE n_nationkey > 4",
+)
+mysql("dialect_found_rows", "nation", "SELECT n_name FROM nation WHERE n_regionkey = 1; SELECT FOUND_ROWS() AS n, 'found_rows()' AS s", "SELECT count(*) AS n, 'found_rows()' AS s FROM nation WHERE n_regionkey = 1")
+mysql(
+    "dialect_transaction_clock", "orders",
+    "SELECT o_orderkey, TIME_TO_TSO(o_orderdate, '+08:00') AS t, TSO_TO_TIME(TIME_TO_TSO(o_orderdate, '+08:00'), '+08:00') AS b, TSO_TO_TIME(TIME_TO_TSO('1970-01-01 08:00:01', '+08:00'), '+00:00') AS c, TIME_TO_TSO('no time', '+00:00') AS n FROM orders",
+    "SELECT o_orderkey, ((epoch(date_trunc('second', o_orderdate))::BIGINT - 28800) * 1000 * 4194304)::BIGINT AS t, date_trunc('second', o_orderdate)::TIMESTAMP AS b, TIMESTAMP '1970-01-01 00:00:01' AS c, NULL::BIGINT AS n FROM orders",
+)
+mysql(
+    "dialect_json_append", "nation",
+    "SELECT n_nationkey, JSON_APPEND('{\"a\": [1], \"b\": {\"c\": 2}}', '$.a', CAST(n_nationkey AS CHAR)) AS a, JSON_APPEND('{\"a\": [1], \"b\": {\"c\": 2}}', '$.b.c', '3') AS b, JSON_APPEND('[1, [2]]', '$[1]', '3') AS c, JSON_APPEND('[1]', '$.x', '3') AS d FROM nation",
+    "SELECT n_nationkey, '{\"a\": [1, ' || n_nationkey || '], \"b\": {\"c\": 2}}' AS a, '{\"a\": [1], \"b\": {\"c\": [2, 3]}}' AS b, '[1, [2, 3]]' AS c, '[1]' AS d FROM nation",
+)
 mysql("dialect_dual", "region", "SELECT 1 + 1 AS two, LENGTH('é') AS bytes FROM DUAL", "SELECT 2 AS two, 2 AS bytes")
 
 mysql(

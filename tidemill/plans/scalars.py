@@ -226,7 +226,7 @@ literals(
         "a": lambda: J.json_array(I(1), I("b"), I(None).cast("string"), I(True)), "o": lambda: J.json_object(id=I(87), name=I('ca"r'), none=I(None).cast("int")), "q": lambda: J.json_quote(I('a "b"')), "u": lambda: J.json_unquote(I('"a\\tb"')), "u2": lambda: J.json_unquote(I("[1]")),
         "l": lambda: J.json_length(I('[1, 2, {"a": 3}]')), "l1": lambda: J.json_length(I("5")), "lp": lambda: J.json_length(I('{"a": 1, "b": {"c": 30}}'), "$.b"), "d": lambda: J.json_depth(I('[10, {"a": 20}]')), "d1": lambda: J.json_depth(I("true")),
         "mp": lambda: J.json_merge_patch(I('{"a": 1, "b": 2}'), I('{"a": 3, "b": null, "c": {"d": 4}}')), "mv": lambda: J.json_merge_preserve(I('{"a": 1}'), I('{"a": 2, "b": 3}')), "ma": lambda: J.json_merge(I("[1, 2]"), I("true")),
-        "c1": lambda: J.json_contains(I('{"a": 1, "b": [2, 3]}'), I('{"b": [3]}')), "c0": lambda: J.json_contains(I("[1, 2]"), I("3")), "ap": lambda: J.json_append(I("[1]"), I('"x"')), "v0": lambda: J.json_valid(I("{bad")), "p": lambda: J.json_pretty(I('{"a":1}')),
+        "c1": lambda: J.json_contains(I('{"a": 1, "b": [2, 3]}'), I('{"b": [3]}')), "c0": lambda: J.json_contains(I("[1, 2]"), I("3")), "ap": lambda: J.json_append(I("[1]"), I("$"), I('"x"')), "v0": lambda: J.json_valid(I("{bad")), "p": lambda: J.json_pretty(I('{"a":1}')),
         "t1": lambda: J.json_type(I("[1]")), "t2": lambda: J.json_type(I("1")), "t3": lambda: J.json_type(I('"x"')), "t4": lambda: J.json_type(I("1.5")), "t5": lambda: J.json_type(I("true")), "t6": lambda: J.json_type(I("null")), "ex": lambda: J.json_extract(I('{"a": {"b": "x"}}'), "$.a"),
     },
     "'[1,\"b\",null,true]' AS a, '{\"id\":87,\"name\":\"ca\\\"r\",\"none\":null}' AS o, '\"a \\\"b\\\"\"' AS q, 'a' || chr(9) || 'b' AS u, '[1]' AS u2, 3::BIGINT AS l, 1::BIGINT AS l1, 1::BIGINT AS lp, 3::BIGINT AS d, 1::BIGINT AS d1, '{\"a\": 3, \"c\": {\"d\": 4}}' AS mp, '{\"a\": [1, 2], \"b\": 3}' AS mv, '[1, 2, true]' AS ma, 1::BIGINT AS c1, 0::BIGINT AS c0, '[1, \"x\"]' AS ap, 0::BIGINT AS v0, '{' || chr(10) || '  \"a\": 1' || chr(10) || '}' AS p, 'ARRAY' AS t1, 'INTEGER' AS t2, 'STRING' AS t3, 'DOUBLE' AS t4, 'BOOLEAN' AS t5, 'NULL' AS t6, '{\"b\":\"x\"}' AS ex",
