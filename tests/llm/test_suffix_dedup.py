@@ -118,3 +118,46 @@ def test_stage_with_odd_rows_and_columns(spark):
     assert [g for g in got if g[0] == "7"] == [("7", kept, "g", 40)] and {g[2] for g in got} == set("abcdegi")
     assert [g[2] for g in got if g[0] == "5"] == ["e", "e"] and all(g[3] == len(g[1] or "") or g[1] is None for g in got)
     assert op.remove_repeats(spark, df.limit(0), "").count() == 0
+
+
+def test_common_anchors_take_little_more_time_than_others():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    data = rng.randbytes(1_000_000)
+    (found,) = op._text_anchors(iter([pa.RecordBatch.from_arrays([pa.array([data], pa.large_binary())], ["text"])]))
+    common = np.sort(found.column(0).to_numpy().view(np.uint64))
+    hasher, none = op.Hasher(), np.zeros(0, np.int64)
+    least = {}
+    for name, known in (("none", common[:0]), ("all", common)):
+        times = []
+        for _ in range(5):
+            began = time.thread_time()
+            segments = op.text_segments(hasher, np.frombuffer(data, np.uint8), none, 64, known)
+            times.append(time.thread_time() - began)
+        least[name] = min(times)
+    # the share of common anchors grows with the table, so their parts must not take a Python step each
+    assert least["all"] < 5 * least["none"]
+    key, low, high, _ = segments
+    assert (high - low).max() <= op.WIDTH and (high - low).sum() == len(data) - op.LENGTH + 1
+
+
+def test_parts_of_equal_strings_have_equal_keys():
+    import numpy as np
+
+    rng = random.Random(12)
+    passage = rng.randbytes(300)
+    keys = []
+    for before, after in ((7, 90), (64, 3)):
+        data = np.frombuffer(rng.randbytes(before) + passage + rng.randbytes(after), np.uint8)
+        hasher = op.Hasher()
+        h, place, first, end = hasher.anchors(hasher.words(data))
+        own = {}
+        for owner, key, low, high in zip(*(x.tolist() for x in op.parts_of(hasher, hasher.words(data), h, place, first, end))):
+            own |= {s - before: key for s in range(low, high)}
+        assert len(own) == len(data) - op.LENGTH + 1
+        keys.append([own[s] for s in range(len(passage) - op.LENGTH + 1)])
+    assert keys[0] == keys[1] and len(set(keys[0])) > 40

@@ -77,51 +77,56 @@ FINE = 255
 # --- anchors --------------------------------------------------------------------
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out, done = np.ones(n, np.uint64), 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
-    return out
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Changes its argument."""
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Hasher:
-    """Hashes of all ``GRAM``-byte substrings by prefix sums of a polynomial."""
+    """Hashes of all substrings of some lengths by sums of their 8-byte words, each with a factor of its own."""
 
     def __init__(self) -> None:
-        self.random = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grams(self, data: np.ndarray) -> np.ndarray:
-        n = len(data)
-        if n < GRAM:
-            return np.zeros(0, np.uint64)
-        if n > len(self.up):
-            size = 1 << n.bit_length()
-            self.up, self.down = _powers(_MULT, size), _powers(pow(_MULT, -1, 1 << 64), size)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.random[data] * self.up[:n], out=sums[1:])
-        h = (sums[GRAM:] - sums[:-GRAM]) * self.down[: n - GRAM + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ h >> np.uint64(29)
-
-    def anchors(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, place, first string, end of strings) of each segment."""
-        value = self.grams(data)
-        place, width, span = np.arange(len(value), dtype=np.int32), LENGTH - GRAM + 1, 1
+        self.factors = np.random.default_rng(1).integers(1, 1 << 63, 8, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+    def words(self, data: np.ndarray) -> np.ndarray:
+        """The 8-byte word at each place of a text."""
+        n = max(len(data) - 7, 0)
+        return np.ndarray(n, "<u8", np.ascontiguousarray(data), strides=(1,)).copy() if n else np.zeros(0, np.uint64)
+
+    def substrings(self, words: np.ndarray, size: int, places: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the substring of ``size`` bytes at every place, or at some."""
+        n = max(len(words) + 8 - size, 0)
+        out = np.zeros(n if places is None else len(places), np.uint64)
+        for factor, k in zip(self.factors, [*range(0, size - 8, 8), size - 8]):
+            out += (words[k : k + n] if places is None else words[places + k]) * factor
+        return _mixed(out)
+
+    def anchors(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, place, first string, end of strings) of each segment of a text of ``LENGTH`` bytes at least."""
+        value = self.substrings(words, GRAM)
+        # a number for each place, upper half of the hash and place: the smallest is the leftmost of the smallest hashes
+        least = value & np.uint64(0xFFFFFFFF00000000)
+        least |= np.arange(len(value), dtype=np.uint64)
+        width, span = LENGTH - GRAM + 1, 1
         while span < width:
             by = min(span, width - span)
-            left = value[:-by] <= value[by:]
-            value, place = np.where(left, value[:-by], value[by:]), np.where(left, place[:-by], place[by:])
+            least = np.minimum(least[:-by], least[by:])
             span += by
-        cut = np.flatnonzero(np.diff(place)) + 1
+        cut = np.flatnonzero(least[1:] != least[:-1]) + 1
         first = np.concatenate([[0], cut])
+        place = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # the smallest of many hashes is a small number: mixed again, so that anchors are dealt evenly
-        own = value[first] * np.uint64(_MULT)
+        own = value[place] * np.uint64(_MULT)
         own = (own ^ own >> np.uint64(32)) * np.uint64(_MULT)
-        return own, place[first].astype(np.int64), first, np.append(cut, len(place))
+        return own, place, first, np.append(cut, len(least))
+
+    def of(self, text: bytes | np.ndarray) -> np.ndarray:
+        """Different anchors of a text, ascending."""
+        h = np.sort(self.anchors(self.words(np.frombuffer(text, np.uint8)))[0])
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -179,7 +184,7 @@ def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 def _text_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for rows in _rounds(batches, 0):
-        found = [np.unique(hasher.anchors(np.frombuffer(text, np.uint8))[0]) for (text,) in rows if len(text) >= LENGTH]
+        found = [hasher.of(text) for (text,) in rows if len(text) >= LENGTH]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
@@ -198,7 +203,7 @@ def _emit_anchors(buckets: int, common):
             found, who = [], []
             for k, (_, text) in enumerate(rows):
                 if len(text) >= LENGTH:
-                    h = np.unique(hasher.anchors(np.frombuffer(text, np.uint8))[0])
+                    h = hasher.of(text)
                     h = h[~_among(h, known)]
                     found.append(h)
                     who.append(np.full(len(h), k, np.uint32))
@@ -243,39 +248,38 @@ def _repeated(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
 # --- segments -------------------------------------------------------------------
 
 
-def _mix(h: np.ndarray | int, data: bytes, part: int) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=int(h).to_bytes(8, "little") + part.to_bytes(4, "little")).digest(), "little")
-
-
-def parts_of(text: bytes, key: int, anchor: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
-    """(finer key, first string, end of strings) of a segment: what all strings of a part have in common, whatever text they are in, is its key."""
-    for part in range((anchor - high + 1) // WIDTH, (anchor - low) // WIDTH + 1):
-        core = text[max(0, anchor - part * WIDTH) : anchor - part * WIDTH - WIDTH + 1 + LENGTH]
-        yield _mix(key, core, part), max(low, anchor - part * WIDTH - WIDTH + 1), min(high, anchor - part * WIDTH + 1)
+def parts_of(hasher: Hasher, words: np.ndarray, keys: np.ndarray, anchors: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(segment, finer key, first string, end of strings) of the parts of a text's segments: what all strings of a part have in common, whatever text they are in, is its key."""
+    least = (anchors - highs + 1) // WIDTH
+    part, owner = _pieces(least, (anchors - lows) // WIDTH + 1 - least, True)
+    last = anchors[owner] - part * WIDTH  # the last string that a part may have
+    core = hasher.substrings(words, LENGTH - WIDTH + 1, last)
+    key = _mixed(core + _mixed(keys[owner] + part.astype(np.uint64) * np.uint64(_MULT)))
+    return owner, key, np.maximum(lows[owner], last - WIDTH + 1), np.minimum(highs[owner], last + 1)
 
 
 def text_segments(hasher: Hasher, data: np.ndarray, codes: np.ndarray, buckets: int, common: np.ndarray) -> tuple[np.ndarray, ...]:
     """(key, first string, end of strings, anchor's place from the first) of the segments of a text's repeated anchors; the last of a hot one is ``FINE``."""
-    h, place, first, end = hasher.anchors(data)
+    words = hasher.words(data)
+    h, place, first, end = hasher.anchors(words)
     own = (_bucket(h, buckets).astype(np.int64) << np.int64(33)) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cold = _among(own, codes)  # codes are sorted; a hot one is the same with bit 32 set
     hot = np.flatnonzero(_among(own | np.int64(1 << 32), codes) | _among(h, common))
     if not len(hot):
         return h[cold], first[cold], end[cold], (place - first)[cold]
     cold[hot] = False
-    text = data.tobytes()
-    fine = [p for a in zip(h[hot].tolist(), place[hot].tolist(), first[hot].tolist(), end[hot].tolist()) for p in parts_of(text, *a)]
-    keys, lows, highs = (np.array(x, kind) for x, kind in zip(zip(*fine), (np.uint64, np.int64, np.int64)))
+    _, keys, lows, highs = parts_of(hasher, words, h[hot], place[hot], first[hot], end[hot])
     return (
         np.concatenate([h[cold], keys]), np.concatenate([first[cold], lows]), np.concatenate([end[cold], highs]),
         np.concatenate([(place - first)[cold], np.full(len(keys), FINE)]),
     )
 
 
-def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The integers of several ranges one after the other."""
+def _pieces(start: np.ndarray, size: np.ndarray, owners: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """The integers of several ranges one after the other; with the range of each."""
     first = np.cumsum(size) - size
-    return np.arange(int(size.sum())) + np.repeat(start - first, size)
+    out = np.arange(int(size.sum())) + np.repeat(start - first, size)
+    return (out, np.repeat(np.arange(len(size)), size)) if owners else out
 
 
 _ASK = [np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8, np.int64, np.int64]
@@ -296,9 +300,9 @@ def _emit_segments(buckets: int, dealt: int, common):
             for i, (k, th, text, codes) in enumerate(rows):
                 key, lo, hi, place = text_segments(hasher, joined[begin[i] : begin[i] + sizes[i]], np.sort(np.array(codes or (), np.int64)), buckets, known)
                 ask = np.ones(len(key), bool)
-                for j in np.flatnonzero(place == FINE).tolist():
-                    a, b = int(lo[j]), int(hi[j])
-                    name = int(key[j]), text[a : b + LENGTH - 1]
+                fine = np.flatnonzero(place == FINE)
+                for j, own, a, b in zip(fine.tolist(), key[fine].tolist(), lo[fine].tolist(), hi[fine].tolist()):
+                    name = own, text[a : b + LENGTH - 1]
                     before = seen.get(name)
                     if before is not None and before < k:
                         ask[j] = False
@@ -326,132 +330,143 @@ def _emit_segments(buckets: int, dealt: int, common):
     return run
 
 
-def least_documents(segments: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
-    """For each segment (block, bytes, smallest document): the smallest document of each of its strings.
-
-    Segments of a block come together.
-    """
-    out: list[np.ndarray] = [None] * len(segments)
-    start = 0
-    while start < len(segments):
-        stop, size = start, 0
-        while stop < len(segments) and (size < BATCH or segments[stop][0] == segments[stop - 1][0]):
-            size += len(segments[stop][1]) + 1
-            stop += 1
-        _solve(segments[start:stop], out, start)
-        start = stop
-    return out
-
-
-def _solve(segments: list[tuple[int, bytes, int]], out: list, base: int) -> None:
-    blocks = np.array([s[0] for s in segments], np.int64)
+class Segments:
+    """Different segments: ``raw`` holds the bytes of each at ``begin``, ``strings`` many strings, with the smallest ``least`` document."""
+
+    def __init__(self, raw: np.ndarray, begin: np.ndarray, strings: np.ndarray, least: np.ndarray, place: np.ndarray):
+        self.raw, self.begin, self.strings, self.least, self.place = raw, begin, strings, least, place
+
+    def solve(self, names: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The smallest document of each string of some segments, one segment after the other; those of a block come together."""
+        return _solve(self.raw, self.begin[names], self.strings[names], self.least[names], blocks)
+
+    def solve_large(self, names: np.ndarray) -> np.ndarray:
+        """The same for a block that is too large: it is cut into blocks by finer keys."""
+        hasher, begin, strings = Hasher(), self.begin[names], self.strings[names]
+        starts = np.cumsum(strings) - strings
+        best = np.repeat(self.least[names], strings)
+        size = strings + LENGTH - 1
+        new = np.cumsum(size) - size
+        words = hasher.words(self.raw[_pieces(begin, size)])
+        of, key, lo, hi = parts_of(hasher, words, np.zeros(len(names), np.uint64), new + self.place[names], new, new + strings)
+        order = np.argsort(key, kind="stable")
+        many = np.unique(key, return_inverse=True, return_counts=True)
+        order = order[many[2][many[1][order]] > 1]
+        block = many[1][order]
+        # blocks of like size go through the arrays together
+        order = order[np.lexsort((block, many[2][block]))]
+        of, key, lo, hi = of[order], many[1][order], lo[order], hi[order]
+        for a, b in _batches(key, hi - lo + LENGTH - 1):
+            at = _pieces(starts[of[a:b]] + (lo - new[of])[a:b], (hi - lo)[a:b])
+            best[at] = _solve(self.raw, begin[of[a:b]] + (lo - new[of])[a:b], (hi - lo)[a:b], self.least[names[of[a:b]]], key[a:b])
+        return best
+
+
+def _batches(blocks: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole blocks with about BATCH bytes."""
+    if not len(blocks):
+        return
+    ends = np.append(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks))
+    done = np.cumsum(size)[ends - 1]
+    start = at = total = 0
+    while at < len(ends):
+        at = min(max(int(np.searchsorted(done, total + BATCH)), at), len(ends) - 1) + 1
+        yield start, int(ends[at - 1])
+        start, total = int(ends[at - 1]), int(done[at - 1])
+
+
+def _solve(raw_: np.ndarray, at: np.ndarray, strings: np.ndarray, docs: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     fresh = np.concatenate([[True], blocks[1:] != blocks[:-1]])
-    sizes = np.array([len(s[1]) for s in segments])
+    sizes = strings + LENGTH - 1
     # each block begins with a separator, each segment ends with one
     begin = np.cumsum(sizes + 1) - (sizes + 1) + np.cumsum(fresh)
     n = int(begin[-1] + sizes[-1] + 1)
     raw = np.zeros(n + 8, np.uint8)
     text = np.zeros(n, np.int64)
-    joined = np.frombuffer(b"".join(s[1] for s in segments), np.uint8)
-    owner = np.repeat(np.arange(len(segments)), sizes)
-    at = np.arange(len(joined)) - (np.cumsum(sizes) - sizes)[owner] + begin[owner]
-    raw[at] = joined
-    text[at] = joined.astype(np.int64) + 1
+    joined, to = raw_[_pieces(at, sizes)], _pieces(begin, sizes)
+    raw[to] = joined
+    text[to] = joined
+    text[to] += 1
     bounds = np.append(begin[fresh] - 1, n)
     sa = suffix_arrays(text, bounds)
     # strings of LENGTH bytes in suffix order; equal ones are neighbours
     string_of = np.full(n, -1, np.int64)
-    strings = sizes - LENGTH + 1
-    who = np.repeat(np.arange(len(segments)), strings)
-    where = np.arange(len(who)) - (np.cumsum(strings) - strings)[who] + begin[who]
+    where, who = _pieces(begin, strings, True)
     string_of[where] = who
-    order = sa[string_of[sa] >= 0]
-    owner = string_of[order]
+    owner = string_of[sa]
+    real = owner >= 0
+    order, owner = sa[real], owner[real]
     words = np.ndarray(n + 1, "<u8", raw, strides=(1,))
-    equal = blocks[owner[1:]] == blocks[owner[:-1]]
+    number = np.cumsum(fresh)[owner]
+    equal = number[1:] == number[:-1]
     for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-        equal &= words[order[1:] + k] == words[order[:-1] + k]
-    least = np.array([s[2] for s in segments], np.int64)[owner]
+        near = np.flatnonzero(equal)
+        equal[near] = words[order[near + 1] + k] == words[order[near] + k]
     head = np.flatnonzero(np.concatenate([[True], ~equal]))
-    best = np.repeat(np.minimum.reduceat(least, head), np.diff(np.append(head, len(order))))
+    best = np.repeat(np.minimum.reduceat(docs[owner], head), np.diff(np.append(head, len(order))))
     result = np.empty(n, np.int64)
     result[order] = best
-    for k, (b, c) in enumerate(zip(begin.tolist(), strings.tolist())):
-        out[base + k] = result[b : b + c]
-
-
-def _least_of_block(segments: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
-    """For a block that is too large, of segments (bytes, smallest document, anchor's place): it is cut into blocks by finer keys."""
-    out = [np.full(len(data) - LENGTH + 1, doc, np.int64) for data, doc, _ in segments]
-    cut_: dict[int, list[tuple[int, int, int]]] = {}
-    for i, (data, _, place) in enumerate(segments):
-        for key, lo, hi in parts_of(data, 0, place, 0, len(data) - LENGTH + 1):
-            cut_.setdefault(key, []).append((i, lo, hi))
-    blocks = sorted((b for b in cut_.values() if len(b) > 1), key=len)
-    flat = [(n, *p) for n, b in enumerate(blocks) for p in b]
-    for (_, i, lo, hi), best in zip(flat, least_documents([(n, segments[i][0][lo : hi + LENGTH - 1], segments[i][1]) for n, i, lo, hi in flat])):
-        out[i][lo:hi] = best
-    return out
+    return result[where]
 
 
 def _judge(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
     """Runs of repeated strings of the texts: (text, first << 32 | end)."""
     keys, ids, docs, first, count, place, data, texts, runs = map(np.concatenate, zip(*(_unblob(b, _ASK) for b in held.column(1).to_pylist())))
-    size = count.astype(np.int64) + LENGTH - 1
+    count, first = count.astype(np.int64), first.astype(np.int64)
+    size = count + LENGTH - 1
     end = np.cumsum(size)
     raw, begin = data.tobytes(), end - size
-    del data
     digest = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
     # equal segments of a key come together, the smallest document first
     order = np.lexsort((ids, digest, keys))
     same = (keys[order[1:]] == keys[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
-    for i in np.flatnonzero(same).tolist():
-        x, y = order[i], order[i + 1]
-        same[i] = raw[begin[x] : end[x]] == raw[begin[y] : end[y]]
+    at = np.flatnonzero(same)
+    same[at] = [raw[a:b] == raw[c:d] for a, b, c, d in zip(*(x.tolist() for x in (begin[order[at]], end[order[at]], begin[order[at + 1]], end[order[at + 1]])))]
     head = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
     many = np.diff(np.append(head, len(order)))
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(ids[order[head]], many)
-    run = first.astype(np.int64) << 32 | first.astype(np.int64) + count
+    run = first << 32 | first + count
     again = ids > least
     found = [(np.concatenate([texts, docs[again]]), np.concatenate([runs, run[again]]))]
-
-    def places(name: int, best: np.ndarray) -> None:
-        for p in order[head[name] : head[name] + many[name]].tolist():
-            if not again[p]:
-                hit = np.flatnonzero(np.diff(np.concatenate([[0], (best < ids[p]).astype(np.int8), [0]]))) + int(first[p])
-                found.append((np.full(len(hit) // 2, docs[p]), hit[::2] << 32 | hit[1::2]))
-
-    def segment(name: int) -> tuple[bytes, int, int]:
-        p = int(order[head[name]])
-        return raw[begin[p] : end[p]], int(ids[p]), int(place[p])
-
-    own = keys[order[head]]
+    one = order[head]
+    own = keys[one]
     block = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     names = np.diff(np.append(block, len(own)))
+    judged = Segments(data, begin[one], count[one], ids[one], place[one].astype(np.int64))
+    # in the smallest document's places of a segment: the first ones of its rows, in order
+    left = np.add.reduceat((~again)[order].astype(np.int64), head) if len(head) else many
+
+    def places(of: np.ndarray, best: np.ndarray) -> None:
+        """Add the runs of strings that a smaller document has, in the places that are not repeats as a whole."""
+        strings = judged.strings[of]
+        begins = np.cumsum(strings) - strings
+        rows, owner = _pieces(head[of], left[of], True)
+        p, n = order[rows], strings[owner]
+        # after every place there is one string that does not repeat
+        start = np.cumsum(n + 1) - (n + 1)
+        hit = np.zeros(int((n + 1).sum()) + 1, np.int8)
+        to, who = _pieces(start, n, True)
+        hit[to + 1] = best[_pieces(begins[owner], n)] < ids[p][who]
+        edge = np.flatnonzero(hit[1:] != hit[:-1])
+        a, b = edge[::2], edge[1::2]
+        place_ = np.searchsorted(start, a, side="right") - 1
+        shift = (first[p] - start)[place_]
+        found.append((docs[p][place_], a + shift << 32 | b + shift))
+
     # blocks of like size go through the arrays together: a long one needs many more steps
-    batch: list[tuple[int, bytes, int]] = []
-    owners: list[int] = []
-    held_bytes = 0
-    for b in np.flatnonzero(names > 1)[np.argsort(names[names > 1], kind="stable")].tolist():
-        members = range(int(block[b]), int(block[b] + names[b]))
-        if len(members) > BLOCK and int(place[order[head[members[0]]]]) != FINE:
-            for name, best in zip(members, _least_of_block([segment(m) for m in members])):
-                places(name, best)
-            continue
-        for m in members:
-            bytes_, doc, _ = segment(m)
-            batch.append((b, bytes_, doc))
-            owners.append(m)
-            held_bytes += len(bytes_)
-        if held_bytes >= BATCH:
-            for name, best in zip(owners, least_documents(batch)):
-                places(name, best)
-            batch, owners, held_bytes = [], [], 0
-    for name, best in zip(owners, least_documents(batch)):
-        places(name, best)
+    several = np.flatnonzero(names > 1)
+    several = several[np.argsort(names[several], kind="stable")]
+    large = (names[several] > BLOCK) & (place[one[block[several]]] != FINE)
+    for b in several[large].tolist():
+        of = np.arange(block[b], block[b] + names[b])
+        places(of, judged.solve_large(of))
+    several = several[~large]
+    members, number = _pieces(block[several], names[several], True)
+    for a, b in _batches(number, judged.strings[members] + LENGTH - 1):
+        places(members[a:b], judged.solve(members[a:b], number[a:b]))
     texts, runs = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-    del found, raw
+    del found, raw, data, judged
     trim()
     return pa.table([pa.array(texts), pa.array(runs)], names=["th", "run"])
 
