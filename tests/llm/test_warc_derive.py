@@ -87,3 +87,22 @@ def test_odd_mark_up_takes_linear_time():
     seen = op.Page(page)
     assert seen.plain_text() == "a bold < 5 end l" and seen.title == "T & t" and seen.metas == [{"name": "x", "content": "a>b"}]
     assert [x["url"] for x in seen.links] == ["/c", "i", "/q"]
+
+
+def test_letters_outside_of_ascii_take_no_more_time():
+    import time
+
+    def least(page):
+        times = []
+        for _ in range(5):
+            began = time.thread_time()
+            seen = op.Page(page)
+            times.append(time.thread_time() - began)
+        return seen, min(times)
+
+    plain, wide = "<P>Some Words and more</P>" + "a B c " * 100_000, "<P>Some Words and more</P>" + "é Ж İ " * 100_000
+    (seen, fast), (other, slow) = least(plain), least(wide)
+    assert slow < 10 * fast
+    assert seen.plain_text().startswith("Some Words and more\na B c") and other.plain_text().endswith("é Ж İ")
+    odd = "İ<SCRIPT>x</Script>\ud800<P>a\t b  c d  e f"
+    assert op.plain_text(odd) == "İ\ud800\na b c d e f"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import table
+from tidemill.llm.common import ASCII_LOWER, table
 
 NAME = "op2_warc_derive"
 SQL = None
@@ -49,17 +49,19 @@ _RAW, _HIDDEN = frozenset(["script", "style"]), frozenset(["script", "style", "n
 _LINKS = frozenset(["a", "img", "link", "script", "iframe", "area"])
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
 _SPECIAL = re.compile("[\"'>]")
-_BLANK = re.compile(r"[^\S\n]+")
+#: Blanks that are not a single space already.
+_BLANK = re.compile(r"[^\S\n]{2,}+|[^\S\n ]")
 _LINES = re.compile(r" ?\n[ \n]*")
 _ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 class Page:
     """Text, title, links and metas of a page by one scan; every character is looked at a bounded number of times."""
 
     def __init__(self, page: str):
-        self.page, self.low = page, page.translate(_LOWER)
+        self.page = page
+        # A-Z only, so that places stay; a table for str.translate is looked up at every character
+        self.low = page.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).decode("utf-8", "surrogatepass")
         self.known: dict[int, int] = {}  # quote that opens outside of others: end of its tag
         self.last: int | None = None  # the last quote or end of a tag
         self.closed: dict[str, int] = {}  # name of an element: its next closing tag
@@ -75,6 +77,9 @@ class Page:
             self.last = max(map(self.page.rfind, "\"'>"))
         if at > self.last:
             return -1
+        m = _SPECIAL.search(self.page, at)
+        if m and m[0] == ">":
+            return m.start()
         passed = []
         while (m := _SPECIAL.search(self.page, at)) and m[0] != ">" and m.start() not in self.known:
             passed.append(m.start())
@@ -118,7 +123,7 @@ class Page:
                     self.text.append("<")
                 at = j + 1
                 continue
-            name, at = m[1].translate(_LOWER), end + 1
+            name, at = m[1].lower(), end + 1
             if name in _BREAK and j >= shown:
                 self.text.append("\n")
             if page[j + 1] != "/":
@@ -132,7 +137,7 @@ class Page:
     def _opened(self, name: str, inside: str, at: int) -> int:
         """Take what an opening tag says; where the scan goes on."""
         if name in _LINKS or name == "meta":
-            pairs = [(k.translate(_LOWER), html.unescape(a or b or c)) for k, a, b, c in _ATTRIBUTE.findall(inside)]
+            pairs = [(k.lower(), html.unescape(a or b or c)) for k, a, b, c in _ATTRIBUTE.findall(inside)]
             if name == "meta":
                 self.metas.append(dict(pairs))
             for k, v in pairs:
