@@ -187,3 +187,47 @@ def test_stage_keeps_odd_columns(spark):
     df = spark.createDataFrame([(1, a, "x"), (2, a + " end", "y"), (3, "other", "z"), (None, a, "n")], "doc_id long, text string, gone string").withColumn("gone_id", F.lit(1)).withColumn("rank", F.lit(2))
     out = op.keep_one(spark, df, "")
     assert out.columns == df.columns and {r.gone for r in out.collect()} == {"x", "z", "n"}
+
+
+def test_a_filter_of_ids_loses_none(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("key"), F.col("id").cast("string").alias("words"))
+    ids = spark.range(0, 20_000, 10)
+    old = op.FILTER
+    try:
+        for op.FILTER, most in ((old, 3000), (16, 20_000)):  # a full filter lets all pass
+            passed = {r.words for r in op.sifted(df, F.col("key"), ids).collect()}
+            others = {r.words for r in op.sifted(df, F.col("key"), ids, among=False).collect()}
+            assert {str(i) for i in range(0, 20_000, 10) if i % 7} <= passed and len(passed) <= most
+            assert not passed & others and len(passed | others) == 20_000
+            assert op.sifted(df, F.col("key"), ids.limit(0)).count() == 0
+    finally:
+        op.FILTER = old
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled, over all stages that are remembered."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 256, 40_000).astype(np.uint8).tobytes().hex() for _ in range(250)]  # a long word, so few shingles
+    texts = [f"{' '.join(f'w{i}x{j}' for j in range(20))} {t}" for i, t in enumerate(texts)]
+    same = " ".join(f"same{j}" for j in range(60))
+    rows = [*enumerate(texts), (1000, same), (1001, f"{same} end"), (1002, f"{same} other end"), (None, same)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old, group = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), op.GROUP
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for op.GROUP in (group, 1):
+            before = shuffled(spark)
+            kept = op.keep_one(spark, df, "").collect()
+            assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [*range(250), 1000] and len(kept) == 252
+            moved = sum(n for k, n in shuffled(spark).items() if k not in before)
+            assert moved < 4_000_000  # three joins of whole texts by ids moved 57 MB
+    finally:
+        op.GROUP = group
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

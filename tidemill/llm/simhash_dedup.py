@@ -54,6 +54,8 @@ ROW_COST = 1000.0
 PAIRS = 1 << 21
 #: Documents whose shingles tell which are common, on average, and how many of those are known; only the order of shingles depends on them.
 COMMON_DOCS, COMMON = 1 << 14, 1 << 17
+#: Words of 64 bits in a filter of ids at most (8 MB); with more than some 2^24 ids it lets more rows pass to the exact join behind it.
+FILTER = 1 << 20
 #: Parts that are considered.
 PARTS = (2, 3, 4, 5, 6, 7)
 #: Largest threshold of a part; with at most seven parts radii up to 20 have an allocation, beyond that ``plan`` raises.
@@ -474,17 +476,44 @@ def _by_size(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Record
             start = end
 
 
-def shingled(documents: DataFrame) -> DataFrame:
-    """(doc_id, rank, shingles): the different shingle hashes of every document."""
+def shingled(documents: DataFrame, *names: str) -> DataFrame:
+    """(doc_id, rank, shingles): the different shingle hashes of every document; with other columns of longs."""
+    names = ("doc_id", "rank", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for part in _by_size(batches, 2):
-            h, many = shingler.sets(part.column(2).to_pylist())
+        for part in _by_size(batches, len(names)):
+            h, many = shingler.sets(part.column(len(names)).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(h))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "rank", "shingles"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*names, "shingles"])
 
-    return documents.select("doc_id", "rank", "text").mapInArrow(tidy(run), "doc_id long, rank long, shingles array<long>")
+    return documents.select(*names, "text").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names) + ", shingles array<long>")
+
+
+def _spot(key: Column, size: int) -> tuple[Column, Column]:
+    """Word of a filter of ``size`` words, a power of two, and the bits in it that stand for a key."""
+    h = F.xxhash64(key)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    return h.bitwiseAND(F.lit(size - 1)).cast("int"), bit(40).bitwiseOR(bit(50))
+
+
+def sifted(documents: DataFrame, key: Column, ids: DataFrame, among: bool = True) -> DataFrame:
+    """Rows whose key may be one of ``ids`` (id), or all others (a null key is none of them).
+
+    A filter of bounded size that every task gets: rows that no id asks for need not be
+    shuffled with their texts. Few others pass it, so an exact join has to follow; an
+    inner or outer one, as Spark would do semi and anti joins before the filter.
+    """
+    size = min(FILTER, 1 << (ids.count() // 4).bit_length())
+    word, bits = _spot(F.col("id"), size)
+    held = ids.filter("id IS NOT NULL").groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()  # a row a word
+    words = np.zeros(size, np.int64)
+    words[held.column("word").to_numpy()] = held.column("bits").to_numpy()
+    (name,) = fresh(documents, "words")
+    one = documents.sparkSession.createDataFrame(pa.table({name: pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(words))}))
+    word, bits = _spot(key, size)
+    passes = key.isNotNull() & (F.col(name)[word].bitwiseAND(bits) == bits)
+    return documents.join(F.broadcast(one), passes if among else ~passes).drop(name)
 
 
 class Similar:
@@ -673,16 +702,19 @@ def joined_groups(documents: DataFrame, grouped: DataFrame, threshold: float) ->
     that share enough of them are all compared by their whole sets. Texts with the same
     set are looked for once.
     """
-    marks = staged(prefixes(documents, grouped.count(), threshold).dropDuplicates(["doc_id"]))
+    marks = staged(prefixes(documents, grouped.count(), threshold))
     set_ = ["same", "too", "n"]
     firsts = marks.groupBy(*set_).agg(F.min("doc_id").alias("first"))
-    groups = staged(marks.select("doc_id", *set_).join(firsts, set_).join(grouped, "doc_id").select("doc_id", "first", "component_id"))
-    rows = marks.join(groups.filter("doc_id = first").select("doc_id", "component_id"), "doc_id").select(F.explode("prefix").alias("h"), "doc_id", "component_id", "n")
+    # repeated rows of a document go behind the joins by its id, which deal them out already
+    groups = staged(marks.select("doc_id", *set_).join(firsts, set_).join(grouped, "doc_id").select("doc_id", "first", "component_id").dropDuplicates(["doc_id"]))
+    rows = marks.join(groups.filter("doc_id = first").select("doc_id", "component_id"), "doc_id").dropDuplicates(["doc_id"])
+    rows = rows.select(F.explode("prefix").alias("h"), "doc_id", "component_id", "n")
     met = rows.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_meet(threshold)), "a long, b long, total long, most long")
     shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("total").alias("total"), F.first("most").alias("most"))
     pairs = staged(shared.filter(F.col("shared") >= least_shared(F.col("total"), F.col("most"), threshold)).select("a", "b"))
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    asked = staged(shingled(documents.join(asked, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])))
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    asked = sifted(documents, F.col("doc_id"), ids).join(ids, F.col("doc_id") == F.col("id"))
+    asked = staged(shingled(asked.dropDuplicates(["doc_id"])))
     side = lambda name: asked.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
     common, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
     similar = pairs.join(side("a"), "a").join(side("b"), "b").filter(common >= threshold * (total - common)).select("a", "b")
@@ -692,7 +724,7 @@ def joined_groups(documents: DataFrame, grouped: DataFrame, threshold: float) ->
     joined = components(links)
     found = groups.join(joined, F.col("component_id") == F.col("node"), "left")
     found = staged(found.select("doc_id", F.coalesce("component", "component_id").alias("component_id")))
-    discard(marks, groups, pairs, asked)
+    discard(marks, groups, pairs, ids, asked)
     return found
 
 
@@ -713,30 +745,38 @@ def near_copies(documents: DataFrame, radius: int = 8, threshold: float = 0.8) -
     near = staged(simhash_dedup(documents, radius).select("doc_id", "component_id").distinct())
     grouped = joined_groups(documents, near, threshold)
     several = grouped.groupBy("component_id").count().filter("count > 1")
-    members = grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
-    rows = documents.join(members, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    left = staged(shingled(rows).join(members, F.col("doc_id") == F.col("id")).select("doc_id", "rank", "group", "shingles"))
-    discard(near, grouped)
+    members = staged(grouped.join(several, "component_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("group")))
+    rows = sifted(documents, F.col("doc_id"), members).join(members, F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"])
+    left = staged(shingled(rows, "group"))
+    discard(near, grouped, members)
     gone = []
     while True:
-        order = Window.partitionBy("group").orderBy("rank", "doc_id")
-        first = left.select("doc_id", "rank", "group").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= GROUP)
-        chosen = left.join(first.select(F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id"), "left_semi")
+        # only the documents of groups that are not judged whole are joined with ids
+        large = staged(left.groupBy(F.col("group").alias("id")).count().filter(F.col("count") > GROUP).select("id"))
+        if large.isEmpty():
+            chosen = left
+        else:
+            order = Window.partitionBy("group").orderBy("rank", "doc_id")
+            of_large = sifted(left, F.col("group"), large)
+            first = of_large.select("doc_id", "rank", "group").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= GROUP)
+            chosen = of_large.join(first.select(F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id")).drop("id")
+            chosen = sifted(left, F.col("group"), large, among=False).unionByName(chosen)
         judged = staged(chosen.groupBy("group").applyInArrow(_judged(threshold), "doc_id long, stays boolean"))
         gone.append(judged.filter("NOT stays").select("doc_id"))
+        if large.isEmpty():
+            discard(large)
+            break
         mark = judged.select(F.col("doc_id").alias("id"), "stays")
-        rest = left.join(mark, F.col("doc_id") == F.col("id"), "left_anti")
+        rest = of_large.join(mark, F.col("doc_id") == F.col("id"), "left").filter("id IS NULL").drop("id", "stays")
         sizes = staged(rest.groupBy("group").agg(F.ceil(F.count("*") / (4 * GROUP)).cast("int").alias("parts")))
-        if sizes.isEmpty():
-            break
         # what stays goes to every part of what is left of its group
-        leaders = left.join(mark.filter("stays"), F.col("doc_id") == F.col("id"), "left_semi").join(sizes, "group")
+        leaders = of_large.join(mark.filter("stays"), F.col("doc_id") == F.col("id")).join(sizes, "group")
         leaders = leaders.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "rank", "shingles", F.lit(True).alias("leads"))
         dealt = rest.join(sizes, "group").select("group", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "rank", "shingles", F.lit(False).alias("leads"))
         follow = staged(leaders.unionByName(dealt).groupBy("group", "part").applyInArrow(_followers(threshold), "doc_id long"))
         gone.append(follow)
         left, before = staged(rest.join(follow.select(F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id"), "left_anti")), left
-        discard(before, sizes)
+        discard(before, sizes, large)
         if left.isEmpty():
             break
     discard(left)
@@ -754,5 +794,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whatever their names.
     """
     (name,) = fresh(docs, "gone")
-    gone = near_copies(docs).select(F.col("doc_id").alias(name))
-    return docs.join(gone, F.col("doc_id").isNotNull() & (row_key() == F.col(name)), "left_anti")
+    gone = near_copies(docs).select(F.col("doc_id").alias("id"))
+    key = F.when(F.col("doc_id").isNotNull(), row_key())
+    stay = sifted(docs, key, gone, among=False)
+    asked = sifted(docs, key, gone).join(gone.select(F.col("id").alias(name)), key == F.col(name), "left").filter(F.col(name).isNull()).drop(name)
+    return stay.unionByName(asked)
