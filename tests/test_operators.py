@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import aggregates as A
 from tidemill.functions import dates as D
 from tidemill.functions import numbers as N
-from tidemill.operators import joins, recursion, rows
+from tidemill.operators import exchange, joins, recursion, rows
 
 
 def test_not_in_over_an_empty_side_keeps_nulls(spark):
@@ -40,6 +40,14 @@ def test_small_sides_are_counted(spark):
     assert "broadcast" not in joins.small(spark.range(20), rows=10)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_a_broadcast_that_is_asked_for_is_counted_too(spark):
+    left, few, many = spark.range(10), spark.range(10).toDF("n"), spark.range(100_001).toDF("n")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(joins.join(left, few, [("id", "n")], strategy="broadcast")) and hinted(exchange.exchange(few, "BROADCAST"))
+    assert not hinted(joins.join(left, many, [("id", "n")], strategy="broadcast")) and not hinted(exchange.exchange(many, "BROADCAST"))
+    assert joins.join(left, many, [("id", "n")], strategy="broadcast").count() == 10
+
+
 def test_plans_push_down_and_prune(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_quantity < 5").select("l_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from tidemill.operators import joins
 
 
 def exchange(df: DataFrame, mode: str, *keys: str | Column, parts: int | None = None) -> DataFrame:
@@ -11,6 +12,7 @@ def exchange(df: DataFrame, mode: str, *keys: str | Column, parts: int | None =
 
     Without ``parts`` the session's shuffle partitions hold and adaptive execution merges
     small ones. SINGLE is for results that are small already, such as final aggregates.
+    BROADCAST is a hint only behind the count of ``joins.small``.
     """
     if mode == "RANDOM":
         return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -21,7 +23,7 @@ def exchange(df: DataFrame, mode: str, *keys: str | Column, parts: int | None =
     if mode == "SINGLE":
         return df.coalesce(1)
     if mode == "BROADCAST":
-        return F.broadcast(df)
+        return joins.small(df)
     if mode == "DIRECT":
         return df
     raise ValueError(f"unknown exchange {mode}")

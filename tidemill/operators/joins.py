@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Strategy names and the hints they stand for.
+#: Strategy names and the hints they stand for; a broadcast is a hint only for a side that ``small`` has counted.
 STRATEGIES = {
     "broadcast": "broadcast", "bka": "shuffle_hash", "merge": "merge", "hash": "shuffle_hash",
     "nested_loop": "shuffle_replicate_nl", "auto": None,
@@ -15,10 +15,14 @@ STRATEGIES = {
 
 
 def join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str = "inner", residual: Column | None = None, strategy: str = "auto") -> DataFrame:
-    """Equi join with an optional residual condition, by the strategy that is asked for."""
+    """Equi join with an optional residual condition, by the strategy that is asked for.
+
+    A right side that is too large to be broadcast is joined as Catalyst chooses.
+    """
     condition = reduce(lambda a, b: a & b, [left[a] == right[b] for a, b in on])
     hint = STRATEGIES[strategy]
-    return left.join(right.hint(hint) if hint else right, condition if residual is None else condition & residual, how)
+    hinted = small(right) if hint == "broadcast" else right.hint(hint) if hint else right
+    return left.join(hinted, condition if residual is None else condition & residual, how)
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
