@@ -8,6 +8,7 @@ from tidemill.functions import aggregates as A
 from tidemill.functions import dates as D
 from tidemill.functions import numbers as N
 from tidemill.operators import exchange, joins, recursion, rows
+from tidemill.plans import registry
 
 
 def test_not_in_over_an_empty_side_keeps_nulls(spark):
@@ -57,6 +58,15 @@ def test_plans_push_down_and_prune(spark):
     assert "TakeOrderedAndProject" in top
 
 
+def test_sketches_are_not_kept_for_each_distinct_value(spark, tmp_path):
+    lines = [("A", p % 700) for p in range(2000)] + [(None, p) for p in range(300)] + [("N", None), ("R", 1)]
+    spark.createDataFrame(lines, "l_returnflag string, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["agg_hll_exact_bound"](spark, str(tmp_path))
+    assert sorted(got.collect(), key=str) == sorted([("A", True), (None, True), ("N", True), ("R", True)], key=str)
+    made = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "approx_count_distinct" in x]
+    assert made and not any("l_partkey" in x.split("functions=")[0] for x in made)
+
+
 def test_composite_intervals():
     assert D.composite_interval("1 10", "DAY_HOUR") == {"DAY": 1, "HOUR": 10}
     assert D.composite_interval("-1:30", "MINUTE_SECOND") == {"MINUTE": -1, "SECOND": -30}
